@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup
+from . import neardup, packing
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,15 @@ def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_minhash_near_duplicates": op3_minhash_near_duplicates}
+    return {
+        "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
+        "op9_best_fit_packing": op9_best_fit_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
