@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing
+from . import neardup, packing, winnow
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,15 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_winnowing": op10_winnowing,
     }
 
 
