@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, winnow
+from . import media, neardup, packing, warc, winnow
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -26,11 +34,26 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_media_columns": op2_media_columns,
+        "op5_warc": op5_warc,
         "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_winnowing": op10_winnowing,
     }
 
 
+OP5_SQL = """
+with p as (
+  select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages
+), q as (
+  select *, count(*) over (partition by html) as c, max(page_id) over (partition by html) as top from p
+)
+select page_id, n as payload_bytes, sha1(html) as payload_digest,
+  case when n >= 1000 and c > 1 and page_id <> top then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and c > 1 and page_id <> top then top end as refers_to
+from q
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": OP5_SQL}
