@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, neardup, packing, warc, winnow
+from . import linededup, media, neardup, packing, quality, warc, winnow
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,14 @@ def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.repeated_chunks(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -37,6 +45,8 @@ def queries() -> dict[str, Query]:
         "op2_media_columns": op2_media_columns,
         "op5_warc": op5_warc,
         "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
+        "op7_line_dedup": op7_line_dedup,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_winnowing": op10_winnowing,
     }
@@ -56,4 +66,4 @@ from q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL}
+    return {"op5_warc": OP5_SQL, "op7_line_dedup": linededup.SQL}
