@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import linededup, media, neardup, packing, quality, warc, winnow
+from . import chat, linededup, media, mixing, neardup, packing, quality, warc, winnow
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -24,6 +29,12 @@ def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.EXTRA).alias("text"))
+    return chat.digests(chat.format_records(chat.records_of(rows.union(extra))))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeated_chunks(table(spark, sf_dir, "documents"))
 
@@ -43,7 +54,9 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_media_columns": op2_media_columns,
+        "op4_source_mixing": op4_source_mixing,
         "op5_warc": op5_warc,
+        "op6_chat_formatting": op6_chat_formatting,
         "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality_classifier": op8_quality_classifier,
@@ -66,4 +79,4 @@ from q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op7_line_dedup": linededup.SQL}
+    return {"op5_warc": OP5_SQL, "op6_chat_formatting": chat.SQL, "op7_line_dedup": linededup.SQL}
