@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, media, mixing, neardup, packing, quality, warc, winnow
+from . import chat, linededup, media, mixing, neardup, packing, quality, urls, warc, winnow
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_url_filter": op1_url_filter,
         "op2_media_columns": op2_media_columns,
         "op4_source_mixing": op4_source_mixing,
         "op5_warc": op5_warc,
