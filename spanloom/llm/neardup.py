@@ -7,10 +7,11 @@
 3. The bins of a band hash to a bucket key. In each bucket one hub is compared with the other members (a
    star): a bucket of m members gives m - 1 pairs.
 4. Pairs are confirmed on the full sets, taken from the whole texts, and links become components.
-5. A star can miss a link between two members that both differ from the hub. Buckets whose members still lie in
-   several components give up their hub and take further hubs (1, 4, 16, ... a round), until no bucket is
-   left with two components that were not compared. So every link whose two documents share a bucket is
-   found, and buckets inside one component, the usual large ones, stop after the first star.
+5. A star can miss a link between two members that both differ from the hub. Buckets whose members, without the
+   hub, still lie in several components are joined to clusters where they overlap, and the members of a cluster are
+   compared in blocks of a bounded size: each task takes two blocks and returns links enough to connect what is
+   linked, never more than it has documents. So every link whose two documents share a bucket is found, and buckets
+   inside one component, the usual large ones, are done after their star.
 
 A pair of similarity 0.8 shares none of the 32 buckets of 5 bins with a probability below 4e-6.
 """
@@ -33,6 +34,10 @@ _C1, _C2, _P = _M(0xBF58476D1CE4E5B9), _M(0x94D049BB133111EB), _M(0x9E3779B97F4A
 BANDS, ROWS, SKETCH = 32, 5, 5
 #: Sets below this size are confirmed without a look at the sketch.
 SMALL = 64
+#: Ids hash to so many cells; the cells in use are at most as many longs (32 MB), so they can be broadcast, and texts of other cells aren't shuffled.
+ENDS = 1 << 22
+#: Documents and shingles of a block, about.
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -167,6 +172,83 @@ def components(links: DataFrame) -> DataFrame:
             return at
 
 
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ids (distinct). A broadcast of the cells that the ids hash to keeps most others out of the shuffle."""
+    cell = F.pmod(F.xxhash64("id"), F.lit(ENDS))
+    cells = ids.select(cell.alias("cell")).distinct()
+    return texts.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi").drop("cell").join(ids, "id", "left_semi")
+
+
+def _links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Of all pairs of the sets that are linked, enough to connect them: at most one a set. The numbers of shared
+    shingles come from products of incidence matrices, so many columns at a time."""
+    sizes = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    more = times > 1
+    keep = more[col]
+    row, col = row[keep], (np.cumsum(more) - 1)[col[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        i, j = np.searchsorted(col, [c, c + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[row[i:j], col[i:j] - c] = 1
+        both += m @ m.T
+    linked = np.triu(100 * both.astype(np.int64) >= percent * (sizes[:, None] + sizes - both.astype(np.int64)), 1)
+    root, out = list(range(len(sets))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, j in np.argwhere(linked).tolist():
+        if (a := find(i)) != (b := find(j)):
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def _compare(k: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, at, ids, sets = _WordHashes(), None, [], []
+
+        def close() -> list[tuple[int, int]]:
+            return [(ids[i], ids[j]) for i, j in _links(sets, percent)] if len(ids) > 1 else []
+
+        def batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], pa.int64()) for x in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            out = []
+            with np.errstate(over="ignore"):
+                for *cell, i, text in zip(*(c.to_pylist() for c in b.columns[:4]), b.column(4).cast(pa.binary()).to_pylist(), strict=True):
+                    if cell != at:
+                        out += close()
+                        at, ids, sets = cell, [], []
+                    ids.append(i)
+                    sets.append(shingle_set(text, k, cache))
+            yield batch(out)
+        yield batch(close())
+
+    return run
+
+
+def _in_blocks(buckets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """buckets (a, b, n): b of size n lies in a bucket whose least member is a. Links (a, b) that connect what is linked."""
+    nodes = settle(buckets.groupBy(F.col("b").alias("id")).agg(F.min("n").alias("n")), "nodes")
+    clusters = components(buckets.filter("a <> b").select("a", "b"))
+    nodes = nodes.join(clusters.withColumnRenamed("node", "id"), "id")
+    blocks = nodes.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
+    blocks = blocks.select("comp", F.least("m", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("all") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    own = nodes.join(blocks, "comp").select("id", "comp", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = own.select("id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sent = cells.join(_only(texts, nodes.select("id")), "id").select("comp", "i", "j", "id", "text")
+    return sent.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_compare(shingle, percent), "a long, b long")
+
+
 def _alike(x: str, y: str, percent: int, bins: int) -> Column:
     """Whether two members can reach the similarity: by size, and by sketches that are wrong once in a few million."""
     p = percent / 100
@@ -194,39 +276,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = settle(some.groupBy("lo", "hi").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes")
     cells = classes.select(F.explode("keys").alias("key"), "rep", "n", "bits")
     shared = classes.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1").select("key")
-    members = settle(cells.join(shared, "key"), "members").withColumn("comp", F.col("rep"))
+    members = settle(cells.join(shared, "key"), "members")
     texts = base.filter("id is not null")
-    found: DataFrame | None = None  # confirmed links
-    tried: DataFrame | None = None
-    comps: DataFrame | None = None
-    hubs_a_round = 1
-    while not members.isEmpty():
-        slot = F.pmod(F.xxhash64("rep", F.lit(hubs_a_round)), F.lit(hubs_a_round)) if hubs_a_round > 1 else F.lit(0)
-        hubs = members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("rep", "comp", "n", "bits")).alias("h")).select("key", "h.*")
-        pairs = members.alias("m").join(hubs.alias("h"), F.expr("m.key = h.key and m.comp <> h.comp and m.rep <> h.rep") & _alike("m", "h", percent, bins))
-        pairs = pairs.select(F.least("m.rep", "h.rep").alias("a"), F.greatest("m.rep", "h.rep").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
+    hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n", "bits")).alias("h")).select("key", "h.*")
+    pairs = members.alias("m").join(hubs.alias("h"), F.expr("m.key = h.key and m.rep <> h.rep") & _alike("m", "h", percent, bins))
+    pairs = settle(pairs.select(F.col("h.rep").alias("a"), F.col("m.rep").alias("b")).distinct(), "pairs")
+    comps = None
+    if not members.isEmpty():
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        if not pairs.isEmpty():
-            need = texts.join(ends, "id", "left_semi")
-            sets = pairs.join(need.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(need.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-            new = settle(sets.select("a", "b", "x", "y").mapInArrow(_confirm(shingle, percent), "a long, b long"), "confirmed")
-            if not new.isEmpty():
-                found = new if found is None else found.union(new)
-                comps = components(found)
-        # hubs have met all members of their bucket; what is left matters only where it spans components
-        rest = members.drop("comp").join(hubs.select("key", "rep"), ["key", "rep"], "left_anti")
-        if comps is not None:
-            rest = rest.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        else:
-            rest = rest.withColumn("comp", F.col("rep"))
-        rest = settle(rest.select("key", "rep", "n", "bits", "comp"), "rest")
-        open_ = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-        members = settle(rest.join(open_, "key", "left_semi"), "members")
-        hubs_a_round *= 4
+        need = _only(texts, ends)
+        sets = pairs.join(need.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(need.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+        found = settle(sets.select("a", "b", "x", "y").mapInArrow(_confirm(shingle, percent), "a long, b long"), "confirmed")
+        comps = components(found)
+        rest = members.join(hubs.select("key", "rep"), ["key", "rep"], "left_anti").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+        rest = settle(rest.select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "rest")
+        unsure = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("rep").alias("a")).filter("x <> y").select("key", "a")
+        rest = settle(rest.join(unsure, "key").select("a", F.col("rep").alias("b"), "n"), "unsure")
+        if not rest.isEmpty():
+            comps = components(found.union(settle(_in_blocks(rest, texts, shingle, percent), "block-links")))
     of = classes.select("lo", "hi", "rep")
     if comps is not None:
         of = of.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("lo", "hi", F.coalesce("comp", "rep").alias("comp"))
