@@ -26,6 +26,7 @@ SAMPLE = 6_000
 LABELLERS = ("symbols", "capitals", "bare_marks", "repeated_words", "function_words", "repeated_lines", "line_ends")
 _KNOWN = b".,;:!?'\"()-"
 _SHAPE = bytes.maketrans(bytes(range(256)), bytes(0x61 if 97 <= c <= 122 or c >= 128 else 0x41 if 65 <= c <= 90 else 0x30 if 48 <= c <= 57 else c for c in range(256)))
+_AGAIN = xxhash.xxh3_64_intdigest(b"again") % BUCKETS
 _LOUD, _SYMBOL, _BARE, _SHORT = 1, 2, 4, 8
 
 
@@ -69,6 +70,8 @@ def look(text: bytes | None) -> tuple[np.ndarray, int, np.ndarray]:
     if not n:
         return np.full(len(LABELLERS), -1, np.int8), 0, np.empty(0, np.int64)
     x = np.fromiter(map(_WORDS.__getitem__, words), np.int64, n)
+    same = np.flatnonzero((x[1:] & 0xFFFF) == (x[:-1] & 0xFFFF)) + 1
+    x[same] = x[same] & ~np.int64(0xFFFF << 16) | _AGAIN << 16  # a word that follows itself has that as its shape
     m = np.bincount(x >> 32, minlength=16)
     share = [sum(m[k] for k in range(16) if k & bit) / n for bit in (_LOUD, _SYMBOL, _BARE, _SHORT)]
     unique = len(set(words)) / n
@@ -186,17 +189,17 @@ class Scorer:
         return 1 / (1 + np.exp(-min(50.0, max(-50.0, z)))), post, n
 
 
-def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Scorer:
-    text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    counted = text.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 3**7 rows
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
+    text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(8)).alias("draw"))
+    counted = text.select("text").mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 3**7 rows
     counts = {r["pattern"]: r["n"] for r in counted}
     total = sum(counts.values())
     labels = WeakLabels(np.array(sorted(counts), np.int64), np.array([counts[k] for k in sorted(counts)], float))
     if not total:
         return Scorer(labels, np.zeros(BUCKETS), 0.0)
     every = max(1, -(-total // sample))
-    some = text.filter(F.pmod(F.xxhash64("text", F.lit(8)), F.lit(every)) == 0).mapInArrow(_samples, "pattern long, words array<long>")
-    got = some.limit(2 * sample).toArrow()  # by hash about `sample` rows; the limit bounds what many equal texts may add
+    some = text.filter(F.pmod("draw", F.lit(every)) == 0).select("text").mapInArrow(_samples, "pattern long, words array<long>")
+    got = some.limit(2 * sample).toArrow()  # by hash of the id about `sample` rows; the limit bounds what an id that many rows repeat may add
     rows = [np.array(r, np.int64) for r in got.column("words").to_pylist()]
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes()))  # the arrival order has no say
     p = np.array(got.column("pattern").to_pylist(), np.int64)[order] if order else np.empty(0, np.int64)
@@ -221,7 +224,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     A null, empty or blank text scores 0 and is rejected. Rows are judged one by one, so repeated rows repeat; a null id stays null.
     Other columns are not looked at. No rows give no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, text_col, sample))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, sample))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     scored = base.mapInArrow(_scores(model), "id long, score double, posterior double, n_words long")
     return scored.select(F.col("id").alias(id_col), "score", "posterior", "n_words", (F.col("score") >= least).alias("keep"))
@@ -236,7 +239,7 @@ def _kept(model, at: int, least: float):
     return run
 
 
-def good_only(docs: DataFrame, text_col: str = "text", least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def good_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that quality() keeps, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, text_col, sample))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, sample))
     return docs.mapInArrow(_kept(model, docs.columns.index(text_col), least), docs.schema)
