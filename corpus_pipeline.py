@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import neardup
+from spanloom.llm import linededup, mixing, neardup, packing, quality
 from spanloom.llm.shared import settle, table
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.good_only(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines go from the texts; a document of which nothing is left goes."""
+    return linededup.without_repeats(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays (five-word shingles, similarity 0.8 or more)."""
     return neardup.keep_one(docs)
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Small sources are repeated, up to twice, towards even weights; each document stays at least once."""
+    return mixing.mixed(docs, entropy=0.98, repeats=2.0)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of at most 4096; a row a piece."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_filter),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", near_dedup),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
 
 ORACLE_SQL = None  # SQL can't express the trained and iterative stages; the tests hold them against brute force
 
