@@ -157,19 +157,23 @@ def _confirm(k: int, percent: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b): -> (node, comp), comp the least node that is reachable. Labels sink to the least neighbour and
-    then to their own label's label, so a chain of length m takes about log m rounds; each round is settled."""
-    both = settle(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    at = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+    """links (a, b), a <> b: -> (node, comp), comp the least node that is reachable.
+
+    Each round every node goes to its least neighbour, and twice on to where that one goes; then the links are drawn between the ends and
+    those inside one end are gone. A star is done in one round, a chain shrinks to a quarter or less in each; rounds are settled.
+    """
+    edges = settle(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    labels: DataFrame | None = None
     while True:
-        near = both.join(at.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        down = at.join(near, "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("m", "comp")).alias("comp"))
-        jump = down.join(at.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left")
-        new = settle(jump.select("node", "old", F.least("comp", F.coalesce("to", "comp")).alias("comp")), "labels")
-        done = new.filter("old <> comp").isEmpty()
-        at = new.select("node", "comp")
-        if done:
-            return at
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
+        to = settle(both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("comp")), "least")
+        for _ in range(2):
+            to = settle(to.join(to.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp").select("node", F.col("next").alias("comp")), "least")
+        labels = to if labels is None else settle(labels.join(to.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "labels")
+        drawn = edges.join(to.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
+        edges = settle(drawn.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        if edges.isEmpty():
+            return labels
 
 
 def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
