@@ -15,6 +15,7 @@ share is ranked by many tasks.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -37,30 +38,71 @@ def public_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
+class WordIds:
     """A word (bytes without ASCII white space) to its ids as little-endian unsigned 32-bit integers.
 
     The tokenizer turns white space into single blanks, splits there and drops them, so a text's ids are those of its
-    words in order. Emptied when it has grown to 500,000 words; words of over 64 bytes aren't kept. A Python worker
-    keeps one for all its tasks.
+    words in order. It lower-cases, and letters and the marks behind them are tokens apart; so a document's new words that are
+    letters, or letters and ASCII marks without an apostrophe, are put together from the two, and all new runs of letters are encoded
+    in one call: each ends with an id that ends a word. Other words are encoded by themselves. Emptied when it has grown to
+    1,500,000 words; words of over 64 bytes aren't kept. A Python worker keeps one for all its tasks.
     """
 
-    def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
+    MARKS, MOST = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~', 1_500_000
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) > 500_000:
-                self.clear()
-            self[word] = ids
-        return ids
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer, self.known = tokenizer, {}
+        words = tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+
+    def encode(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, words: list[bytes]) -> None:
+        known, made = self.known, []
+        for w in words:
+            core = w.rstrip(self.MARKS)
+            if core.isalpha():
+                made.append((w, core.lower(), w[len(core) :]))
+            elif core and not core.isascii() and core.decode("utf-8", "replace").isalpha():
+                made.append((w, core, w[len(core) :]))
+            else:
+                known[w] = self.encode(w).tobytes()
+        new = list({c for _, c, _ in made}.difference(known))
+        ids = self.encode(b" ".join(new))
+        ends = np.flatnonzero(self.ends[ids]).tolist()
+        if len(ends) == len(new):
+            raw, at = ids.tobytes(), 0
+            for c, end in zip(new, ends, strict=True):
+                known[c] = raw[4 * at : 4 * end + 4]
+                at = end + 1
+        else:
+            known.update((c, self.encode(c).tobytes()) for c in new)
+        for w, core, marks in made:
+            if marks and marks not in known:
+                known[marks] = self.encode(marks).tobytes()
+            known[w] = known[core] + known[marks] if marks else known[core]
+
+    def ids(self, text: bytes) -> bytes:
+        words = text.split()
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        new = list(set(words).difference(self.known))
+        for i in range(0, len(new), 10_000):
+            self.learn(new[i : i + 10_000])
+        out = b"".join(map(self.known.__getitem__, words))
+        for w in new:
+            if len(w) > 64:
+                del self.known[w]
+        return out
 
 
 _WORDS: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     if path not in _WORDS:
@@ -76,7 +118,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = b"".join(map(words.__getitem__, text.split() if text else ())) + end
+                ids = (words.ids(text) if text else b"") + end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((i, piece, at // 4, len(part) // 4, zlib.crc32(part)))
