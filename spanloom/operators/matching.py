@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import engine
-from spanloom.schemas import SPAN
+from spanloom.schemas import PRIORITY, SPAN
 
 #: Rows of a rule or template table that are broadcast.
 BROADCAST_ROWS = 50_000
@@ -67,7 +67,6 @@ def validates(text: Column, snapshots: Column, values: Column) -> Column:
 _WALKED = "struct<template_id:string,values:array<" + SPAN + ">>"
 
 
-@F.arrow_udf(_WALKED)
 def _walk(text: pa.Array, templates: pa.Array, values: pa.Array) -> pa.Array:
     out = []
     for t, ts, vs in zip(text.to_pylist(), templates.to_pylist(), values.to_pylist(), strict=True):
@@ -98,7 +97,7 @@ def outcomes(cands: DataFrame, templates: DataFrame) -> DataFrame:
     c = c.join(q, ["sender_id", "seq_hash"], "left")
     c = c.withColumn("live", F.filter("ts", lambda t: t["active"])).withColumn("good", F.filter("live", lambda t: validates(F.col("text"), t["snapshots"], F.col("values"))))
     ask = F.col("t").isNull() & (F.size("live") > 0) & (F.size("good") == 0)
-    c = c.withColumn("walked", _walk(F.when(ask, F.col("text")), F.when(ask, F.to_json("live")), F.when(ask, F.col("values"))))
+    c = c.withColumn("walked", F.arrow_udf(_walk, _WALKED)(F.when(ask, F.col("text")), F.when(ask, F.to_json("live")), F.when(ask, F.col("values"))))
     head = F.get("good", F.lit(0))
     agree = F.forall("good", lambda t: t["category"].eqNullSafe(head["category"]) & t["subcategory"].eqNullSafe(head["subcategory"]))
     light = lambda t: F.struct(*[t[k].alias(k) for k in ("template_id", "category", "subcategory", "intent", "confidence", "snapshots")])
@@ -118,8 +117,6 @@ def outcomes(cands: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def priority(reason: Column) -> Column:
-    from spanloom.schemas import PRIORITY
-
     out = F.lit(0)
     for name, p in PRIORITY.items():
         out = F.when(reason == name, p).otherwise(out)

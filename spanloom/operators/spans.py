@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -83,24 +84,32 @@ def as_candidates(found: list[list[engine.Span]]) -> list[dict]:
     return [{"ord": i, "values": [s._asdict() for s in c], "names": [s.name for s in c]} for i, c in enumerate(found)]
 
 
-@F.arrow_udf(f"array<{CANDIDATE}>")
-def _extract(text: pa.Array, rules: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for t, r, found in zip(text.to_pylist(), rules.to_pylist(), spans.to_pylist(), strict=True):
-        if not t or not r:
-            out.append([])
-            continue
-        parsed, own = _rules(r)
-        by = None
-        if not own:
-            by = {}
-            for s in found or ():
-                by.setdefault(s["name"], []).append(engine.Span(s["name"], s["value"], s["st"], s["en"]))
-        out.append(as_candidates(engine.extract(t, parsed, by)))
-    return pa.array(out, _CANDIDATES)
-
-
-def candidates(text: str = "text", rules_json: str = "rules_json", spans: str = "spans") -> Column:
-    """All candidates of a message: spans of REGEX rules come from the JVM (regex_spans_of), boundary rules and combinations are made
-    in Arrow batches, with each sender's rules parsed once a worker."""
-    return _extract(F.col(text), F.col(rules_json), F.col(spans))
+def _found(t: str | None, r: str | None, spans: list[dict] | None) -> list[dict]:
+    if not t or not r:
+        return []
+    parsed, own = _rules(r)
+    by: dict[str, list[engine.Span]] | None = None
+    if not own:
+        by = {}
+        for s in spans or ():
+            by.setdefault(s["name"], []).append(engine.Span(s["name"], s["value"], s["st"], s["en"]))
+    return as_candidates(engine.extract(t, parsed, by))
+
+
+def with_candidates(rows: DataFrame, text: str = "text", rules_json: str = "rules_json", spans: str = "spans") -> DataFrame:
+    """rows with cands, all candidates of each message, in place of the rules and the spans.
+
+    Spans of REGEX rules come from the JVM (regex_spans_of); boundary rules and combinations are made in Arrow batches, with each sender's
+    rules parsed once a worker.
+    """
+    kept = [f for f in rows.schema.fields if f.name not in (rules_json, spans)]
+    at = [rows.columns.index(f.name) for f in kept]
+    i, j, k = (rows.columns.index(c) for c in (text, rules_json, spans))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cands = [_found(t, r, s) for t, r, s in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), b.column(k).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in at), pa.array(cands, _CANDIDATES)], names=[*(b.schema.names[x] for x in at), "cands"])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return rows.mapInArrow(run, f"{ddl}, cands array<{CANDIDATE}>")

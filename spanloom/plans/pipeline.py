@@ -19,8 +19,8 @@ def prepared(messages: DataFrame, mappings: T.Mappings = ()) -> tuple[DataFrame,
 def with_candidates(messages: DataFrame, compiled: DataFrame) -> DataFrame:
     """messages (msg_id, sender_id, normalized, …) with their candidates; compiled: rules.compile_entities()."""
     rows = messages.join(matching.small(compiled), "sender_id", "left").withColumn("text", F.col("normalized"))
-    rows = rows.withColumn("n_rules", F.coalesce(F.size("entities"), F.lit(0))).withColumn("spans", spans.regex_spans_of())
-    return rows.withColumn("cands", spans.candidates()).drop("spans", "entities", "rules_json")
+    rows = rows.withColumn("n_rules", F.coalesce(F.size("entities"), F.lit(0))).withColumn("spans", spans.regex_spans_of()).drop("entities")
+    return spans.with_candidates(rows)
 
 
 def matched(cands: DataFrame, templates: DataFrame) -> DataFrame:
