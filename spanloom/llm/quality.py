@@ -106,33 +106,32 @@ def votes_of(p: np.ndarray, labellers: int = len(LABELLERS)) -> np.ndarray:
 
 
 class WeakLabels:
-    """Class shares and, for each labeller, the chance of each vote given the class; by expectation-maximisation."""
+    """Class shares and, for each labeller, the chance that a vote it gives on a document of a class is good; by expectation-maximisation. To
+    abstain says nothing, so short documents, on which many abstain, aren't bad for that."""
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, labellers: int = len(LABELLERS), rounds: int = 200, smooth: float = 1.0) -> None:
         v = votes_of(patterns, labellers)
-        hot = np.stack([(v == k) for k in (-1, 0, 1)], 2).astype(float)  # pattern, labeller, vote
-        said = (v >= 0).sum(1)
-        p = np.where(said > 0, (v == 1).sum(1) / np.maximum(said, 1), 0.9)  # starts from the majority
-        p = np.clip(p, 0.05, 0.95)
+        p = np.choose(np.minimum((v == 0).sum(1), 2), [0.95, 0.4, 0.05])  # starts from the number of bad votes, which say more than good ones
         for _ in range(rounds):
             w = np.stack([(1 - p) * counts, p * counts])  # class, pattern
             self.share = (w.sum(1) + smooth) / (w.sum() + 2 * smooth)
-            self.says = (np.einsum("cp,plv->clv", w, hot) + smooth) / (w.sum(1) + 3 * smooth)[:, None, None]
+            good, bad = w @ (v == 1), w @ (v == 0)
+            self.good, self.given = (good + smooth) / (good + bad + 2 * smooth), good + bad
             new = self.posterior(patterns)
-            if np.abs(new - p).max() < 1e-9:
+            if np.abs(new - p).max(initial=0.0) < 1e-9:
                 break
             p = new
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """The chance of good."""
-        v = votes_of(patterns, self.says.shape[1]) + 1
-        log = np.log(self.share)[:, None] + np.log(self.says)[:, np.arange(v.shape[1]), v].sum(2)
-        return 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
+        v = votes_of(patterns, self.good.shape[1])
+        log = np.log(self.share) + (v == 1) @ np.log(self.good).T + (v == 0) @ np.log(1 - self.good).T
+        return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
 
     def accuracy(self) -> np.ndarray:
         """Of each labeller: the chance that a vote it gives is right."""
-        right = self.share[0] * self.says[0, :, 1] + self.share[1] * self.says[1, :, 2]
-        return right / (self.share[0] * self.says[0, :, 1:].sum(1) + self.share[1] * self.says[1, :, 1:].sum(1))
+        right = self.given[0] * (1 - self.good[0]) + self.given[1] * self.good[1]
+        return right / self.given.sum(0)
 
 
 def fit(rows: list[np.ndarray], target: np.ndarray, epochs: int = 60, rate: float = 0.5, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
