@@ -182,19 +182,20 @@ def _rows_of(v) -> list[dict]:
     return [] if v is None or isinstance(v, float) else json.loads(v)
 
 
-def learn(misses: DataFrame, entities: DataFrame, templates: DataFrame, teacher: Teacher) -> DataFrame:
+def learn(misses: DataFrame, entities: DataFrame, templates: DataFrame, teacher: Teacher, calls: int = 100) -> DataFrame:
     """misses (msg_id, seq, sender_id, normalized), asked about by sender in the order of seq. Rows of kind message (records), and of kind
     template and rules (the new version of what the sender learned, as JSON in body).
 
     A sender's messages pass through one task, in a stream sorted by sender and seq, so a large sender needs no memory of its size; the loop is
-    sequential by nature, which is why only misses come here.
+    sequential by nature, which is why only misses come here. At most `calls` senders are asked about at a time.
     """
     ents = entities.groupBy("sender_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("ord", "name", "rule_type", "regex_variants", "boundary_pairs")))).alias("ents"))
     tmps = templates.groupBy("sender_id").agg(F.to_json(F.collect_list(F.struct(*templates.columns))).alias("tmps"))
     state = ents.join(tmps, "sender_id", "full_outer").select("sender_id", F.lit(None).cast("string").alias("msg_id"), F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("normalized"), "ents", "tmps")
     state = state.join(misses.select("sender_id").distinct(), "sender_id", "left_semi")
     rows = misses.select("sender_id", "msg_id", "seq", "normalized", F.lit(None).cast("string").alias("ents"), F.lit(None).cast("string").alias("tmps")).unionByName(state)
-    ordered = rows.repartition("sender_id").sortWithinPartitions("sender_id", F.col("seq").asc_nulls_first(), "msg_id")
+    tasks = max(1, min(calls, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ordered = rows.repartition(tasks, "sender_id").sortWithinPartitions("sender_id", F.col("seq").asc_nulls_first(), "msg_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split(" ")[0] for x in LEARN_OUT.split(", ")]

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators import engine
@@ -89,7 +89,7 @@ def _found(t: str | None, r: str | None, spans: list[dict] | None) -> list[dict]
         return []
     parsed, own = _rules(r)
     by: dict[str, list[engine.Span]] | None = None
-    if not own:
+    if not own and spans is not None:
         by = {}
         for s in spans or ():
             by.setdefault(s["name"], []).append(engine.Span(s["name"], s["value"], s["st"], s["en"]))
@@ -113,3 +113,19 @@ def with_candidates(rows: DataFrame, text: str = "text", rules_json: str = "rule
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return rows.mapInArrow(run, f"{ddl}, cands array<{CANDIDATE}>")
+
+
+class Extract:
+    """The handler of a table function: a row a span of each candidate of one text under rules given as JSON."""
+
+    def eval(self, text: str, rules_json: str):
+        for c in _found(text, rules_json if rules_json else None, None) if text else ():
+            for v in c["values"]:
+                yield c["ord"], v["name"], v["value"], v["st"], v["en"]
+
+
+def register_extract(spark: SparkSession, name: str = "extract_spans") -> None:
+    """SELECT * FROM extract_spans(text, rules_json): for looking at single messages; tables of them go through with_candidates()."""
+    from pyspark.sql.functions import udtf
+
+    spark.udtf.register(name, udtf(Extract, returnType="ord int, name string, value string, st int, en int"))

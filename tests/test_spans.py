@@ -35,3 +35,14 @@ def test_product_and_subsets(spark):
 def test_islands(spark):
     df = spark.createDataFrame([("m", "n", s, e, i, str(i)) for i, (s, e) in enumerate([(0, 5), (3, 7), (7, 9), (8, 12)])], "msg_id string, name string, st int, en int, ord int, value string")
     assert [r["island"] for r in spans.overlap_islands(df).orderBy("st").collect()] == [0, 0, 1, 1]
+
+
+def test_table_function(spark):
+    import json
+
+    spans.register_extract(spark)
+    rules_json = json.dumps([{"name": "A", "rule_type": "REGEX", "regex_variants": [{"regex": "[0-9]+", "grp": 0}]}, {"name": "M", "rule_type": "BOUNDARY_HINT", "boundary_pairs": [{"start_after": "AT", "end_before": "ON", "max_tokens": 3}]}])
+    df = spark.createDataFrame([("INR 5 AT SHOP ON",)], "t string").crossJoin(spark.createDataFrame([(rules_json,)], "r string"))
+    df.createOrReplaceTempView("one_message")
+    got = [tuple(r) for r in spark.sql("select x.* from one_message, lateral extract_spans(t, r) x").collect()]
+    assert got == [(0, "A", "5", 4, 5), (0, "M", "SHOP", 9, 13), (1, "A", "5", 4, 5)]
