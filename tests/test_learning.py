@@ -77,3 +77,22 @@ def test_json_ingest(spark):
     assert [tuple(r) for r in got] == [("A", "x"), ("7", "y")]
     b = messages.batch(spark, [("A", "x"), ("B", None)])
     assert b.count() == 2 and b.columns == ["msg_id", "seq", "sender_id", "text"]
+
+
+def test_stateful_stream(spark, tmp_path):
+    from spanloom.streaming import stateful
+
+    src = tmp_path / "in"
+    src.mkdir()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "msg_id string, seq bigint, sender_id string, normalized string"
+    m = spark.readStream.schema(schema).json(str(src))
+    for k in range(2):
+        rows = [{"msg_id": f"{s}{k}{i}", "seq": 10 * k + i, "sender_id": s, "normalized": TEXT.format(i + 1, i)} for s in "AB" for i in range(5)]
+        (src / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
+        q = stateful.learn_stream(m, _teacher).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    got = spark.read.parquet(str(tmp_path / "out"))
+    by = {(r["sender_id"], r["path"]): r["n"] for r in got.groupBy("sender_id", "path").agg(F.count("*").alias("n")).collect()}
+    assert by == {(s, p): n for s in "AB" for p, n in (("LLM", 1), ("TEMPLATE_HIT", 9))}
