@@ -81,6 +81,15 @@ def _walk(text: pa.Array, templates: pa.Array, values: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("template_id", pa.string()), ("values", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string()), ("st", pa.int32()), ("en", pa.int32())])))]))
 
 
+def first_hits(messages: DataFrame, templates: DataFrame) -> DataFrame:
+    """messages whose first candidate hits an active template by its static hash keep that candidate alone: it wins whatever the others are, so
+    most messages go on as one row."""
+    on = small(static_index(templates).filter("t.active").select("sender_id", F.col("static_hash").alias("_h"), F.lit(True).alias("_hit")))
+    values = F.transform(F.get("cands", F.lit(0))["values"], lambda v: v["value"])
+    m = messages.withColumn("_h", F.when(F.size("cands") > 1, T.static_hash(F.col("text"), values))).join(on, ["sender_id", "_h"], "left")
+    return m.withColumn("cands", F.when(F.col("_hit"), F.slice("cands", 1, 1)).otherwise(F.col("cands"))).drop("_h", "_hit")
+
+
 def explode_candidates(messages: DataFrame) -> DataFrame:
     """A row a candidate; a message without candidates keeps one row with no values."""
     rows = messages.select("*", F.posexplode_outer("cands").alias("_p", "c")).drop("cands", "_p")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,18 +28,19 @@ def with_candidates(messages: DataFrame, compiled: DataFrame) -> DataFrame:
 def matched(cands: DataFrame, templates: DataFrame) -> DataFrame:
     """A row a message: seq, sender_id, raw, normalized, win, won, reason."""
     keep = ["seq", "sender_id", "raw", "normalized", "n_rules"]
-    rows = matching.explode_candidates(cands.withColumnRenamed("raw_text", "raw"))
+    rows = matching.explode_candidates(matching.first_hits(cands.withColumnRenamed("raw_text", "raw"), templates))
     got = matching.reduce_outcomes(matching.outcomes(rows, templates), keep)
     lost = F.when(F.col("reason").isNotNull() & F.col("no_candidates") & (F.col("n_rules") > 0), "EXTRACTION_CANDIDATES_DISCARDED").otherwise(F.col("reason"))
     return got.withColumn("reason", lost)
 
 
-def process(spark: SparkSession, messages: DataFrame, normalization: DataFrame, entities: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def process(spark: SparkSession, messages: DataFrame, normalization: DataFrame, entities: DataFrame, templates: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(hits, misses, skipped). hits: results with the template's fields and values by semantic type; misses go to learning.learn();
-    skipped: messages of the language gate, with nothing else filled in."""
+    skipped: messages of the language gate, with nothing else filled in. keep: what to do with the matched messages, of which hits and misses are two
+    views, such as persist() where both are wanted."""
     ready, skipped = prepared(messages, rules.mappings_of(normalization))
     cands = with_candidates(ready.withColumnRenamed("text", "raw_text"), rules.compile_entities(spark, entities))
-    got = matched(cands, templates)
+    got = keep(matched(cands, templates))
     hits = got.filter("win is not null").select(
         "msg_id", "seq", "sender_id", "raw", "normalized", *[F.col(f"win.{k}").alias(k) for k in ("template_id", "category", "subcategory", "intent", "confidence")],
         matching.typed_values(F.col("normalized"), F.col("won"), F.col("win.snapshots")).alias("entities"), F.lit(HIT).alias("path"),

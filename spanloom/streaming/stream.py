@@ -13,7 +13,13 @@ from spanloom.sources.tables import Store
 
 def process_batch(spark: SparkSession, store: Store, messages: DataFrame, teacher: learning.Teacher | None, batch: int) -> None:
     """One batch: results and records are written under its number, so a replay of the batch replaces what it wrote."""
-    hits, misses, _ = pipeline.process(spark, messages, store.read("normalization_rules"), store.read("sender_entities"), store.read("templates"))
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.persist())
+        return kept[-1]
+
+    hits, misses, _ = pipeline.process(spark, messages, store.read("normalization_rules"), store.read("sender_entities"), store.read("templates"), keep)
     cols = ["msg_id", "seq", "sender_id", "normalized", "template_id", "category", "subcategory", "intent", "confidence", "entities", "path"]
     done = hits.select(*cols, F.lit(None).cast("string").alias("fail_reason"))
     if teacher is not None:
@@ -25,12 +31,14 @@ def process_batch(spark: SparkSession, store: Store, messages: DataFrame, teache
             store.write("templates", rules.upsert_by(store.read("templates"), learning.new_templates(learned), "template_id"))
             store.write("sender_entities", rules.upsert_by(store.read("sender_entities"), learning.new_rules(learned), "sender_id"))
     done.write.mode("overwrite").parquet(f"{store.root}/processed/batch={batch:09d}")
+    for df in kept:
+        df.unpersist()
 
 
 def run(spark: SparkSession, messages: DataFrame, root: str, teacher: learning.Teacher | None = None, available_now: bool = False) -> StreamingQuery:
     """Starts the query on a stream of messages (sources.messages) over the tables in root."""
     store = Store(spark, root)
-    writer = messages.writeStream.option("checkpointLocation", f"{store.root}/_progress").foreachBatch(lambda df, n: process_batch(df.sparkSession, Store(df.sparkSession, root), df.persist(), teacher, n))
+    writer = messages.writeStream.option("checkpointLocation", f"{store.root}/_progress").foreachBatch(lambda df, n: process_batch(df.sparkSession, Store(df.sparkSession, root), df, teacher, n))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
