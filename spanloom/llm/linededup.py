@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, settle
+from .shared import bound, fresh, settle
 
 #: One line in so many ends a chunk; characters of a passage line; characters of the least chunk that may go.
 EVERY, LONG_LINE, LEAST = 3, 160, 40
@@ -23,21 +23,21 @@ CELLS = 1 << 22
 
 def chunks(text: Column, every: int = EVERY, long_line: int = LONG_LINE) -> Column:
     """The text's chunks, in order; joined by line feeds they are the text again."""
-    lines = F.split(text, "\n", -1)
 
-    def mark(lines: Column) -> Column:
-        hashes = F.transform(lines, lambda x: F.md5(x))
-        both = F.arrays_zip(lines.alias("x"), hashes.alias("h"), F.slice(F.concat(F.array(F.lit("")), hashes), 1, F.size(hashes)).alias("p"), F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit(""))).alias("n"))
-        alone = lambda x: (F.length(x) >= long_line) | (x == "\x00")  # noqa: E731  a line that is the mark itself stands alone, so the marks can be told apart
+    def looked_at(lines: Column) -> Column:
+        """A line that is the mark itself stands alone too, so the marks can be told apart."""
+        return F.transform(lines, lambda x: F.struct(x.alias("x"), F.md5(x).alias("h"), ((F.length(x) >= long_line) | (x == "\x00")).alias("alone")))
 
+    def marked(rows: Column) -> Column:
         def one(r: Column, i: Column) -> Column:
-            rolled = F.conv(F.right(F.md5(F.concat(r["p"], r["h"])), F.lit(6)), 16, 10).cast("long")
-            cut = (rolled % every == 0) | alone(r["x"]) | alone(r["n"])
-            return F.concat(r["x"], F.when(i == F.size(lines) - 1, "").when(cut, _CUT).otherwise("\n"))
+            before, after = F.coalesce(F.get(rows, i - 1)["h"], F.lit("")), F.get(rows, i + 1)["alone"]
+            rolled = F.conv(F.right(F.md5(F.concat(before, r["h"])), F.lit(6)), 16, 10).cast("long")
+            end = F.when(after.isNull(), "").when(r["alone"] | after | (rolled % every == 0), _CUT).otherwise("\n")
+            return F.concat(r["x"], end)
 
-        return F.split(F.array_join(F.transform(both, one), ""), _CUT, -1)
+        return F.array_join(F.transform(rows, one), "")
 
-    return mark(lines)
+    return F.split(bound(bound(F.split(text, "\n", -1), looked_at), marked), _CUT, -1)
 
 
 def _eligible(chunk: Column, long_line: int, least: int) -> Column:

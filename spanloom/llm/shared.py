@@ -56,6 +56,19 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Spark hand texts to Python in batches of at most so many rows (and bytes, by its own limit), so that a worker's memory stays small.
+    The setting is the session's, as it is read when a plan runs; a smaller one is left alone."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if now <= 0 or now > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def bound(value: Column, then) -> Column:
+    """then(value), with the value computed once: a higher-order function would compute an expression again for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
