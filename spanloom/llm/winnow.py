@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from .shared import partitions, text_batches
 
 K, W = 14, 50
 _U = np.uint64
@@ -97,6 +97,7 @@ def with_previous(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     more than its range. Ties are ordered by text; a null id counts as the lowest.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     lowest = -(1 << 63)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("at", F.coalesce("id", F.lit(lowest)))
     n = partitions(spark)
