@@ -74,6 +74,7 @@ def overlap_islands(spans: DataFrame) -> DataFrame:
 def _rules(text: str) -> tuple[list[dict], bool]:
     """Parsed rules with all keys, and whether Python has to search patterns itself (a group, or a match of nothing)."""
     rules = [{"name": e.get("name"), "rule_type": e.get("rule_type"), "regex_variants": [{"regex": v.get("regex"), "grp": v.get("grp") or 0} for v in e.get("regex_variants") or ()], "boundary_pairs": [{k: p.get(k) for k in ("start_after", "end_before", "max_tokens")} for p in e.get("boundary_pairs") or ()]} for e in json.loads(text)]
+    rules = engine.distinct_rules(rules)
     return rules, any(v["grp"] for e in rules for v in e["regex_variants"])
 
 
@@ -93,7 +94,7 @@ def _found(t: str | None, r: str | None, spans: list[dict] | None) -> list[dict]
         by = {}
         for s in spans or ():
             by.setdefault(s["name"], []).append(engine.Span(s["name"], s["value"], s["st"], s["en"]))
-    return as_candidates(engine.extract(t, parsed, by))
+    return as_candidates(engine.extract(t, parsed, by, distinct=True))
 
 
 def with_candidates(rows: DataFrame, text: str = "text", rules_json: str = "rules_json", spans: str = "spans") -> DataFrame:
