@@ -84,4 +84,4 @@ from q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL, "op6_chat_formatting": chat.SQL, "op7_line_dedup": linededup.SQL}
+    return {"op3_minhash_near_duplicates": neardup.SQL, "op5_warc": OP5_SQL, "op6_chat_formatting": chat.SQL, "op7_line_dedup": linededup.SQL}

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, settle
+from .shared import drop_settled, fresh, settle, text_batches
 
 _M = np.uint64
 _C1, _C2, _P = _M(0xBF58476D1CE4E5B9), _M(0x94D049BB133111EB), _M(0x9E3779B97F4A7C15)
@@ -47,10 +47,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    """Word to 64-bit hash; emptied when it has grown to half a million words."""
+    """Word to 64-bit hash; emptied when it has grown to a quarter of a million words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -168,11 +168,14 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
         to = settle(both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("comp")), "least")
         for _ in range(2):
-            to = settle(to.join(to.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp").select("node", F.col("next").alias("comp")), "least")
-        labels = to if labels is None else settle(labels.join(to.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "labels")
+            near, to = to, settle(to.join(to.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp").select("node", F.col("next").alias("comp")), "least")
+            drop_settled(near)
+        old, labels = labels, to if labels is None else settle(labels.join(to.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")), "labels")
         drawn = edges.join(to.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
-        edges = settle(drawn.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        links, edges = edges, settle(drawn.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        drop_settled(links, *([old, to] if old is not None else []))
         if edges.isEmpty():
+            drop_settled(edges)
             return labels
 
 
@@ -273,6 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if bands * rows * 2 < SKETCH * 64:
         raise ValueError("the sketch takes two bits a bin")
+    text_batches(docs.sparkSession)
     bins = bands * rows
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sk = settle(base.mapInArrow(_sketches(shingle, bands, rows), "id long, n long, lo long, hi long, keys array<long>, bits array<long>"), "sketch")
@@ -288,16 +292,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = None
     if not members.isEmpty():
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        need = _only(texts, ends)
+        need = settle(_only(texts, ends), "ends")  # apart from the join below, so that a hub with very many pairs is split there
         sets = pairs.join(need.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(need.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
         found = settle(sets.select("a", "b", "x", "y").mapInArrow(_confirm(shingle, percent), "a long, b long"), "confirmed")
         comps = components(found)
         rest = members.join(hubs.select("key", "rep"), ["key", "rep"], "left_anti").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
         rest = settle(rest.select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "rest")
         unsure = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("rep").alias("a")).filter("x <> y").select("key", "a")
-        rest = settle(rest.join(unsure, "key").select("a", F.col("rep").alias("b"), "n"), "unsure")
+        all_, rest = rest, settle(rest.join(unsure, "key").select("a", F.col("rep").alias("b"), "n"), "unsure")
+        drop_settled(all_)
         if not rest.isEmpty():
-            comps = components(found.union(settle(_in_blocks(rest, texts, shingle, percent), "block-links")))
+            more = settle(_in_blocks(rest, texts, shingle, percent), "block-links")
+            drop_settled(comps)
+            comps = components(found.union(more))
+            drop_settled(more)
+        drop_settled(need, found, rest)
+    drop_settled(members, pairs)
     of = classes.select("lo", "hi", "rep")
     if comps is not None:
         of = of.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("lo", "hi", F.coalesce("comp", "rep").alias("comp"))
@@ -313,3 +323,26 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     gone, other = fresh(docs, "gone", "other")
     drop = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias(other)).distinct()
     return docs.join(drop, docs["doc_id"] == drop[other], "left_anti")
+
+
+#: near_duplicates() with shingles of four words, in DuckDB, by joining all shingles.
+SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select distinct doc_id, unnest(case when len(ws) >= 4 then list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w
+), c as (
+  select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+), e as (
+  select x, y from p join c a on a.doc_id = x join c b on b.doc_id = y where 100 * k >= 80 * (a.n + b.n - k)
+), f as (
+  select x, y from e union all select y, x from e
+), r(d, m) as (
+  select doc_id, doc_id from documents union select r.d, f.y from r join f on f.x = r.m
+), l as (
+  select d, min(m) as m from r group by d
+)
+select doc_id, coalesce(n, 0) as n_shingles, m as component_id, doc_id = m as kept from documents left join c using (doc_id) join l on l.d = doc_id
+"""

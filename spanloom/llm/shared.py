@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spanloom-")
+        own = tempfile.mkdtemp(prefix="spanloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -29,16 +33,17 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, and a lost executor loses no files."""
     spark, path = df.sparkSession, new_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
 
 
 def drop_settled(*tables: DataFrame) -> None:
-    """Removes the files behind tables made by settle() that no later plan reads."""
+    """Removes the files behind tables as settle() returned them, once no later plan reads them."""
     for df in tables:
-        for f in df.inputFiles()[:1]:
-            jvm = df.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._settled)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
