@@ -24,7 +24,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_dir, partitions, settle
+from .shared import new_dir, partitions, settle, text_batches
 
 WIDTH, HEADER = 64, 33
 SHARD_BYTES = 1 << 30
@@ -142,6 +142,7 @@ def _write(folder: str, limit: int):
 
 def store(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, str]:
     """Stores every payload; (id, n_bytes, digest, shard, offset, length) a row, and the folder of the shards."""
+    text_batches(docs.sparkSession)
     folder = folder or new_dir(docs.sparkSession, "shards")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return settle(base.mapInArrow(_write(folder, shard_bytes), "doc_id long, n_bytes long, digest string, shard string, offset long, length long"), "media"), folder

@@ -20,7 +20,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_dir, partitions, settle
+from .shared import new_dir, partitions, settle, text_batches
 
 #: Fixed values of the published format: the skippable frame's number and the revisit profile.
 SKIPPABLE = 0x184D2A5D
@@ -139,6 +139,7 @@ def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def write(pages: DataFrame, folder: str | None = None, least: int = LEAST, level: int = 3) -> tuple[DataFrame, str]:
     """Archives pages (page_id, url, html); (page_id, file, offset, length) of each record, and the folder."""
+    text_batches(pages.sparkSession)
     folder = folder or new_dir(pages.sparkSession, "warc")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     again = settle(revisits(base, least), "revisits").withColumnRenamed("page_id", "id")
