@@ -40,6 +40,41 @@ def with_retry(teacher: Teacher, wait: Callable[[float], None] = time.sleep) ->
     return call
 
 
+# ---- a language model as the teacher
+
+INSTRUCTIONS = """You are given one machine-written message, normalised to upper-case ASCII, and the extraction rules that its sender has so far.
+Answer with one JSON object: category, subcategory, intent, confidenceScore (0 to 1), canonicalTemplate (the message with {NAME} in place of each value),
+extractedFields (an object from rule name to the value as it stands in the message), entities (a list of rules) and ordering (rule names in message order).
+A rule has name, semanticType, type (REGEX or BOUNDARY_HINT), regex and group for the first, startAfter, endBefore and maxTokens for the second. An anchor is a literal next to the value,
+{NAME} of another rule, SOM for the start or EOM for the end of the message. Use known rules and their names where they fit."""
+
+
+def request_for(text: str, entities: list[dict]) -> list[dict]:
+    """The turns of a request: what is asked for, and the message with the sender's rules."""
+    known = [{"name": e["name"], "type": e["rule_type"], "regex": [v["regex"] for v in e["regex_variants"] or ()], "anchors": [[p["start_after"], p["end_before"], p["max_tokens"]] for p in e["boundary_pairs"] or ()]} for e in entities]
+    return [{"role": "system", "content": INSTRUCTIONS}, {"role": "user", "content": json.dumps({"message": text, "rules": known})}]
+
+
+def read_response(content: str, usage: dict[str, int] | None = None) -> dict:
+    """An answer as the loop takes it, with the defaults of parse_responses()."""
+    r = json.loads(content)
+    rules = [
+        {
+            "name": e.get("name"), "semantic_type": e.get("semanticType") or e.get("name"), "rule_type": e.get("type") if e.get("type") in (REGEX, BOUNDARY_HINT) else REGEX,
+            "regex": e.get("regex"), "grp": e.get("group") or 0, "start_after": e.get("startAfter") or "", "end_before": e.get("endBefore") or "", "max_tokens": 3 if e.get("maxTokens") is None else e["maxTokens"],
+        }
+        for e in r.get("entities") or ()
+    ]
+    fields = {k: str(v) for k, v in (r.get("extractedFields") or {}).items() if v is not None and str(v) != "null" and str(v).strip()}
+    tokens = {k: (usage or {}).get(k, 0) for k in ("input_tokens", "output_tokens", "cached_tokens", "reasoning_tokens")}
+    return {"category": r.get("category"), "subcategory": r.get("subcategory"), "intent": r.get("intent"), "confidence": float(r.get("confidenceScore") or 0.0), "canonical": r.get("canonicalTemplate"), "fields": fields, "entities": rules, "ordering": r.get("ordering") or []} | tokens
+
+
+def chat_teacher(send: Callable[[list[dict]], tuple[str, dict[str, int]]], wait: Callable[[float], None] = time.sleep) -> Teacher:
+    """A teacher that sends the turns of a request somewhere and reads (content, token usage) back; send raises RateLimited to be called later."""
+    return with_retry(lambda text, entities: read_response(*send(request_for(text, entities))), wait)
+
+
 # ---- responses
 
 _ENTITIES = "array<struct<name:string,semanticType:string,type:string,regex:string,group:int,startAfter:string,endBefore:string,maxTokens:int>>"

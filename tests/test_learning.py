@@ -96,3 +96,12 @@ def test_stateful_stream(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     by = {(r["sender_id"], r["path"]): r["n"] for r in got.groupBy("sender_id", "path").agg(F.count("*").alias("n")).collect()}
     assert by == {(s, p): n for s in "AB" for p, n in (("LLM", 1), ("TEMPLATE_HIT", 9))}
+
+
+def test_chat_teacher_reads_answers_as_the_plan_does(spark):
+    answer = json.dumps({"category": "C", "confidenceScore": 0.7, "canonicalTemplate": "X {A}", "extractedFields": {"A": "1", "B": None, "C": "null", "D": " "}, "entities": [{"name": "A", "type": "ODD"}, {"name": "M", "semanticType": "m", "type": "BOUNDARY_HINT", "startAfter": "AT", "maxTokens": 0, "group": 2}], "ordering": ["A"]})
+    sent = []
+    got = learning.chat_teacher(lambda turns: (sent.append(turns), (answer, {"input_tokens": 5}))[1])("X 1", [{"name": "A", "rule_type": "REGEX", "regex_variants": [{"regex": "[0-9]", "grp": 0}], "boundary_pairs": []}])
+    assert json.loads(sent[0][1]["content"])["message"] == "X 1" and got["input_tokens"] == 5 and got["output_tokens"] == 0
+    r = spark.createDataFrame([(answer,)], "c string").select(learning.parse_responses(F.col("c")).alias("r")).first()["r"].asDict(recursive=True)
+    assert {k: r[k] for k in r} == {k: got[k] for k in r}
