@@ -37,7 +37,7 @@ SMALL = 64
 #: Ids hash to so many cells; the cells in use are at most as many longs (32 MB), so they can be broadcast, and texts of other cells aren't shuffled.
 ENDS = 1 << 22
 #: Documents and shingles of a block, about.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 200_000
+BLOCK_DOCS, BLOCK_SHINGLES = 128, 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -180,10 +180,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of ids (distinct). A broadcast of the cells that the ids hash to keeps most others out of the shuffle."""
+    """The texts of ids (distinct), and those of a few other ids that share a cell with one: the joins on ids that follow leave these out. So
+    texts aren't shuffled to find them."""
     cell = F.pmod(F.xxhash64("id"), F.lit(ENDS))
     cells = ids.select(cell.alias("cell")).distinct()
-    return texts.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi").drop("cell").join(ids, "id", "left_semi")
+    return texts.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi").drop("cell")
 
 
 def _links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
