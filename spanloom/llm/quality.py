@@ -12,6 +12,7 @@ else covers all documents.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import text_batches
+
 
 BUCKETS = 1 << 16
 SAMPLE = 6_000
 LABELLERS = ("symbols", "capitals", "bare_marks", "repeated_words", "function_words", "repeated_lines", "line_ends")
 _KNOWN = b".,;:!?'\"()-"
 _SHAPE = bytes.maketrans(bytes(range(256)), bytes(0x61 if 97 <= c <= 122 or c >= 128 else 0x41 if 65 <= c <= 90 else 0x30 if 48 <= c <= 57 else c for c in range(256)))
+_RUN = re.compile(rb"(.)\1+", re.S)
 _AGAIN = xxhash.xxh3_64_intdigest(b"again") % BUCKETS
 _LOUD, _SYMBOL, _BARE, _SHORT = 1, 2, 4, 8
 
@@ -33,13 +37,13 @@ _LOUD, _SYMBOL, _BARE, _SHORT = 1, 2, 4, 8
 def _describe(word: bytes) -> int:
     """Two hashed features (the lower-cased word, its shape with runs folded) and four marks, in one number."""
     raw = word.translate(_SHAPE)
-    shape = bytes(c for i, c in enumerate(raw) if not i or raw[i - 1] != c)
+    shape = _RUN.sub(rb"\1", raw)
     core = raw.strip(_KNOWN)
     letters = raw.count(b"a") + raw.count(b"A")
     marks = 0
     if letters > 1 and raw.count(b"A") == letters or core and raw.endswith(b"!!"):
         marks |= _LOUD
-    if core and any(c not in b"aA0" and c not in _KNOWN for c in core):
+    if core.translate(None, b"aA0" + _KNOWN):
         marks |= _SYMBOL
     if not letters and b"0" not in raw:
         marks |= _BARE
@@ -189,6 +193,7 @@ class Scorer:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
+    text_batches(docs.sparkSession)
     text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(8)).alias("draw"))
     counted = text.select("text").mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 3**7 rows
     counts = {r["pattern"]: r["n"] for r in counted}
@@ -199,7 +204,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     every = max(1, -(-total // sample))
     some = text.filter(F.pmod("draw", F.lit(every)) == 0).select("text").mapInArrow(_samples, "pattern long, words array<long>")
     got = some.limit(2 * sample).toArrow()  # by hash of the id about `sample` rows; the limit bounds what an id that many rows repeat may add
-    rows = [np.array(r, np.int64) for r in got.column("words").to_pylist()]
+    words = got.column("words").combine_chunks()
+    values, ends = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy()
+    rows = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes()))  # the arrival order has no say
     p = np.array(got.column("pattern").to_pylist(), np.int64)[order] if order else np.empty(0, np.int64)
     if not len(p):
