@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import settle, text_batches
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length and salt that one task ranks, on average, at most.
@@ -45,10 +45,10 @@ class WordIds:
     words in order. It lower-cases, and letters and the marks behind them are tokens apart; so a document's new words that are
     letters, or letters and ASCII marks without an apostrophe, are put together from the two, and all new runs of letters are encoded
     in one call: each ends with an id that ends a word. Other words are encoded by themselves. Emptied when it has grown to
-    1,500,000 words; words of over 64 bytes aren't kept. A Python worker keeps one for all its tasks.
+    800,000 words; words of over 64 bytes aren't kept. A Python worker keeps one for all its tasks.
     """
 
-    MARKS, MOST = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~', 1_500_000
+    MARKS, MOST = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~', 800_000
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer, self.known = tokenizer, {}
@@ -223,6 +223,7 @@ def _place(runs: np.ndarray):
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ids of each whole text and the end id, cut every `capacity` ids."""
+    text_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return base.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
