@@ -156,10 +156,12 @@ def typed_values(text: Column, values: Column, snapshots: Column) -> Column:
     """Values by semantic type: the first snapshot of the name whose type is free and whose start anchor, if literal, occurs before the value; else by name.
     A later value of the same key replaces the earlier one."""
 
-    def step(acc: Column, v: Column) -> Column:
-        before = F.upper(F.substr(text, F.lit(1), v["st"]))
+    def key(acc: Column, v: Column, before: Column) -> Column:
         fits = lambda s: (s["name"] == v["name"]) & ~F.map_contains_key(acc, s["semantic_type"]) & (F.coalesce(s["start_after"], F.lit("")).rlike(r"^(\{|$)") | F.contains(before, F.upper(F.coalesce(s["start_after"], F.lit("")))))
-        key = F.coalesce(F.get(F.transform(F.filter(snapshots, fits), lambda s: s["semantic_type"]), F.lit(0)), v["name"])
-        return F.map_concat(F.map_filter(acc, lambda k, _: k != key), F.create_map(key, v["value"]))
+        return F.coalesce(F.get(F.transform(F.filter(snapshots, fits), lambda s: s["semantic_type"]), F.lit(0)), v["name"])
+
+    def step(acc: Column, v: Column) -> Column:
+        put = lambda k: F.map_concat(F.map_filter(acc, lambda x, _: x != k), F.create_map(k, v["value"]))
+        return T.bound(F.upper(F.substr(text, F.lit(1), v["st"])), lambda before: T.bound(key(acc, v, before), put))
 
     return F.aggregate(values, F.create_map().cast("map<string,string>"), step)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import bound
 from spanloom.operators import engine
 from spanloom.schemas import CANDIDATE, SPAN
 
@@ -17,15 +18,18 @@ from spanloom.schemas import CANDIDATE, SPAN
 def regex_spans(text: Column, name: Column, pattern: Column) -> Column:
     """All matches with their places. Matches and the pieces between them alternate, so running lengths give the places;
     the pattern must not match nothing."""
-    pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("i"), F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def step(acc: Column, m: Column) -> Column:
-        end = acc["at"] + F.length(m)
-        span = F.struct(name.alias("name"), m.alias("value"), acc["at"].alias("st"), end.alias("en"))
-        return F.struct((acc["i"] + 1).alias("i"), (end + F.length(F.get(pieces, acc["i"] + 1))).alias("at"), F.array_append(acc["out"], span).alias("out"))
+    def places(pieces: Column) -> Column:
+        start = F.struct(F.lit(0).alias("i"), F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    return F.aggregate(F.regexp_extract_all(text, pattern, F.lit(0)), start, step, lambda acc: acc["out"])
+        def step(acc: Column, m: Column) -> Column:
+            end = acc["at"] + F.length(m)
+            span = F.struct(name.alias("name"), m.alias("value"), acc["at"].alias("st"), end.alias("en"))
+            return F.struct((acc["i"] + 1).alias("i"), (end + F.length(F.get(pieces, acc["i"] + 1))).alias("at"), F.array_append(acc["out"], span).alias("out"))
+
+        return F.aggregate(F.regexp_extract_all(text, pattern, F.lit(0)), start, step, lambda acc: acc["out"])
+
+    return bound(F.split(text, pattern, -1), places)
 
 
 def regex_spans_of(text: str = "text", entities: str = "entities") -> Column:

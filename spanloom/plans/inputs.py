@@ -26,8 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(msg_id, seq, sender_id, text): a debit message for each order."""
+    """(msg_id, seq, sender_id, text): a debit message for each order. Orders come as one row group, which is one task, so they are dealt out first."""
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    o = o.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     money = lambda x: F.col(x).cast("decimal(18,2)").cast("string")
     text = F.concat(F.lit("Rs. "), money("o_totalprice"), F.lit(" debited from A/C XX"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit(" on "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" at "), F.col("c_mktsegment"), F.lit(" Avl Bal INR "), money("c_acctbal"))
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
