@@ -14,8 +14,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go from the texts; a document of which nothing is left goes."""
-    return linededup.without_repeats(docs)
+    """Repeated chunks and runs of lines go from the texts; a document of which nothing is left goes."""
+    return linededup.without_repeated_runs(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,35 +9,40 @@ equal it. Only digests of chunks are shuffled for the search; texts only of chun
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bound, fresh, settle
+from .shared import SPACE, bound, fresh, settle
 
 #: One line in so many ends a chunk; characters of a passage line; characters of the least chunk that may go.
 EVERY, LONG_LINE, LEAST = 3, 160, 40
 _CUT = "\n\x00\n"
+#: Words of the least run of lines that may go wherever it starts and ends.
+RUN = 50
 #: Digests hash to so many cells; those in use are at most as many longs and can be broadcast.
 CELLS = 1 << 22
 
 
+def _looked_at(lines: Column, long_line: int) -> Column:
+    """A line that is the mark itself stands alone too, so the marks can be told apart."""
+    return F.transform(lines, lambda x: F.struct(x.alias("x"), F.md5(x).alias("h"), ((F.length(x) >= long_line) | (x == "\x00")).alias("alone")))
+
+
+def _ends(rows: Column, r: Column, i: Column, every: int) -> Column:
+    """Whether line i, which isn't the last, ends a chunk."""
+    before = F.coalesce(F.get(rows, i - 1)["h"], F.lit(""))
+    rolled = F.conv(F.right(F.md5(F.concat(before, r["h"])), F.lit(6)), 16, 10).cast("long")
+    return r["alone"] | F.get(rows, i + 1)["alone"] | (rolled % every == 0)
+
+
 def chunks(text: Column, every: int = EVERY, long_line: int = LONG_LINE) -> Column:
     """The text's chunks, in order; joined by line feeds they are the text again."""
 
-    def looked_at(lines: Column) -> Column:
-        """A line that is the mark itself stands alone too, so the marks can be told apart."""
-        return F.transform(lines, lambda x: F.struct(x.alias("x"), F.md5(x).alias("h"), ((F.length(x) >= long_line) | (x == "\x00")).alias("alone")))
-
     def marked(rows: Column) -> Column:
-        def one(r: Column, i: Column) -> Column:
-            before, after = F.coalesce(F.get(rows, i - 1)["h"], F.lit("")), F.get(rows, i + 1)["alone"]
-            rolled = F.conv(F.right(F.md5(F.concat(before, r["h"])), F.lit(6)), 16, 10).cast("long")
-            end = F.when(after.isNull(), "").when(r["alone"] | after | (rolled % every == 0), _CUT).otherwise("\n")
-            return F.concat(r["x"], end)
-
-        return F.array_join(F.transform(rows, one), "")
+        end = lambda r, i: F.when(F.get(rows, i + 1).isNull(), "").when(_ends(rows, r, i, every), _CUT).otherwise("\n")
+        return F.array_join(F.transform(rows, lambda r, i: F.concat(r["x"], end(r, i))), "")
 
-    return F.split(bound(bound(F.split(text, "\n", -1), looked_at), marked), _CUT, -1)
+    return F.split(bound(bound(F.split(text, "\n", -1), lambda x: _looked_at(x, long_line)), marked), _CUT, -1)
 
 
 def _eligible(chunk: Column, long_line: int, least: int) -> Column:
@@ -90,7 +95,81 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return new.select(docs.columns)
 
 
-#: The same in DuckDB, on `documents`.
+def windows(text: Column, words: int = RUN, every: int = EVERY, long_line: int = LONG_LINE, least: int = LEAST) -> Column:
+    """(s, e, h, digest) of line windows, from line s to line e: the chunks that may go; from each line with a word the fewest lines on, and to
+    each such line the fewest lines back, that have `words` words. What a run of lines is found by depends on nothing outside of
+    it: its windows lie in it and, where it has `words` words, cover it from its first to its last line with a word."""
+
+    def reached(near: Column) -> Column:
+        """(words, last line) once enough words are reached, of lines in order."""
+        return F.aggregate(near, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at")), lambda a, x: F.when(a["n"] >= words, a).otherwise(F.struct((a["n"] + x["n"]).alias("n"), x["at"].alias("at"))))
+
+    def on(said: Column, i: Column, most: int) -> Column:
+        return reached(F.slice(said, i + 1, F.lit(most)))
+
+    def back(said: Column, i: Column, most: int) -> Column:
+        return reached(F.reverse(F.slice(said, F.greatest(i - most + 2, F.lit(1)), F.least(i + 1, F.lit(most)))))
+
+    def far(some: Column, more: Column) -> Column:
+        """Few lines mostly do; a line with a word has one at least, so `words` lines always do where any number does."""
+        return bound(some, lambda a: F.when(a["n"] >= words, a).otherwise(more))
+
+    def runs(said: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            a, b = far(on(said, i, 8), on(said, i, words)), far(back(said, i, 8), back(said, i, words))
+            span = lambda r, s, e: F.when(r["n"] >= words, F.struct(s.alias("s"), e.alias("e")))
+            return F.array(bound(a, lambda r: span(r, x["at"], r["at"])), bound(b, lambda r: span(r, r["at"], x["at"])))
+
+        return F.flatten(F.transform(said, one))
+
+    def found(lines: Column) -> Column:
+        part = lambda w: F.array_join(F.slice(lines, w["s"] + 1, w["e"] - w["s"] + 1), "\n")
+        last = lambda rows: F.filter(F.transform(rows, lambda r, i: F.when(F.coalesce(_ends(rows, r, i, every), F.lit(True)) | F.get(rows, i + 1).isNull(), i)), lambda i: i.isNotNull())
+        spans = lambda ends: F.transform(ends, lambda e, j: F.struct(F.coalesce(F.get(ends, j - 1) + 1, F.lit(0)).alias("s"), e.alias("e")))
+        may = lambda w: bound(part(w), lambda t: (F.length(t) >= long_line) | (w["e"] > w["s"]) & (F.length(t) >= least))
+        own = F.filter(bound(bound(_looked_at(lines, long_line), last), spans), may)
+        said = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.regexp_count(x, F.lit(f"[^{SPACE}]+")).alias("n"))), lambda x: x["n"] > 0)
+        every_ = F.array_distinct(F.filter(F.concat(own, bound(said, runs)), lambda w: w.isNotNull()))
+        return F.transform(every_, lambda w: bound(part(w), lambda t: F.struct(w["s"].alias("s"), w["e"].alias("e"), F.xxhash64(t).alias("h"), F.unhex(F.sha2(t, 256)).alias("digest"))))
+
+    return bound(F.split(text, "\n", -1), found)
+
+
+def without_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", words: int = RUN, every: int = EVERY, long_line: int = LONG_LINE, least: int = LEAST) -> DataFrame:
+    """docs like without_repeats() gives them, but with every run of whole lines gone that has `words` words and repeats an earlier one, whatever
+    lines stand around it, besides all chunks that go there.
+
+    Windows are the same where their SHA-256 is. The first one, by id and place, stays but for lines that are in a later place of another
+    window; one that overlaps its own first keeps the overlap. So of each line that goes an earlier copy stays. Blank lines at a run's ends stay.
+    """
+    key, gone = fresh(docs, "row_key", "gone_lines")
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    row = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("text"))
+    found = base.select(row.alias("k"), "id", F.inline(windows(F.col("text"), words, every, long_line, least)))
+    again = found.select("k", "s", "h").groupBy("h").agg(F.min(F.struct("k", "s")).alias("x"), F.max(F.struct("k", "s")).alias("y")).filter("x <> y").select("h")
+    again = settle(again, "repeats")
+    cell = F.pmod("h", F.lit(CELLS))
+    places = found.withColumn("cell", cell).join(F.broadcast(again.select(cell.alias("cell")).distinct()), "cell", "left_semi").drop("cell").join(again, "h", "left_semi").drop("h")
+    places = settle(places, "repeated-windows")
+    # settled too, so that the join has a shuffle on each side and a digest of very many places can be split
+    first = settle(places.groupBy("digest").agg(F.min(F.struct("id", "k", "s")).alias("f")), "first-windows")
+    low = F.when(F.col("k") == F.col("f.k"), F.greatest("s", F.col("f.s") + F.col("e") - F.col("s") + 1)).otherwise(F.col("s"))
+    drops = places.join(first, "digest").select("k", low.alias("s"), "e").filter("s <= e")
+    upto = F.max("e").over(Window.partitionBy("k").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
+    new = drops.withColumn("s", F.greatest("s", F.coalesce(upto + 1, F.lit(0)))).filter("s <= e")  # each line once
+    drops = new.groupBy(F.col("k").alias(key)).agg(F.collect_list(F.struct("s", "e")).alias(gone))
+    own = F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("null")), F.coalesce(docs[text_col], F.lit("")))
+    with_ = docs.withColumn(key, own).join(drops, key, "left").drop(key)
+    places_left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.flatten(F.transform(F.col(gone), lambda r: F.sequence(r["s"], r["e"]))))
+    kept = bound(F.split(F.col(text_col), "\n", -1), lambda lines: F.array_join(F.transform(places_left(lines), lambda i: F.get(lines, i)), "\n"))
+    new = with_.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept))
+    new = new.filter(F.col(gone).isNull() | (F.trim(F.col(text_col)) != ""))
+    if chars_col in docs.columns:
+        new = new.withColumn(chars_col, F.when(F.col(gone).isNull(), F.col(chars_col)).otherwise(F.length(F.col(text_col)).cast(docs.schema[chars_col].dataType)))
+    return new.select(docs.columns)
+
+
+#: The same as repeated_chunks() in DuckDB, on `documents`.
 SQL = f"""
 with d as (select distinct doc_id, coalesce(text, '') as text from documents),
 l as (select doc_id, text, string_split(text, chr(10)) as x from d),

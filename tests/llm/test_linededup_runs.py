@@ -1,0 +1,75 @@
+import random
+
+from test_linededup import chunks, corpus
+
+import corpus_pipeline
+from spanloom.llm import linededup as L
+
+
+def windows(text):
+    """Chunks that may go, and the least windows of RUN words from and to each line with a word."""
+    lines, out, at = text.split("\n"), set(), 0
+    for c in chunks(text):
+        n = c.count("\n") + 1
+        if len(c) >= L.LONG_LINE or n > 1 and len(c) >= L.LEAST:
+            out.add((at, at + n - 1))
+        at += n
+    said = [(i, len(x.split())) for i, x in enumerate(lines) if x.split()]
+    for k in range(len(said)):
+        for way in (said[k:], said[k::-1]):
+            n = 0
+            for i, w in way:
+                n += w
+                if n >= L.RUN:
+                    out.add((min(i, said[k][0]), max(i, said[k][0])))
+                    break
+    return sorted(out)
+
+
+def slow(rows):
+    first, gone, out = {}, {}, {}
+    for d in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines = (d[1] or "").split("\n")
+        for s, e in windows(d[1] or ""):
+            f, at = first.setdefault("\n".join(lines[s : e + 1]), (d, s))
+            low = max(s, at + e - s + 1) if f == d else s
+            gone.setdefault(d, set()).update(range(low, e + 1))
+        out[d[0]] = (bool(gone.get(d)), "\n".join(x for i, x in enumerate(lines) if i not in gone.get(d, ())))
+    return out
+
+
+def line(r, n):
+    return " ".join("".join(r.choices("abcdefghijk", k=5)) for _ in range(n))
+
+
+def test_short_lines_in_other_surroundings(spark, docs):
+    """A passage of 3 to 8 lines below 160 characters goes whole, whatever lines stand around it."""
+    r, rows, want = random.Random(9), [], {}
+    for p, (n, w) in enumerate([(3, 20), (4, 15), (5, 25), (6, 10), (8, 10), (7, 8)] * 5):
+        passage = [line(r, w) for _ in range(n)]
+        assert all(len(x) < L.LONG_LINE for x in passage)
+        for k in (0, 1):
+            i, a, b = 2 * p + k, [line(r, 7) for _ in range(3)], [line(r, 6) for _ in range(3)]
+            rows.append((i, "\n".join(a + passage + b)))
+            want[i] = "\n".join(a + (passage if k == 0 else []) + b)
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.line_dedup(spark, docs(rows), None).collect()}
+    assert got == want
+
+
+def test_against_brute_force(spark, docs):
+    r = random.Random(3)
+    again, small = line(r, 10), [line(r, 1) for _ in range(70)]
+    rows = corpus() + [(200, "\n".join([again] * 40)), (201, "\n".join([line(r, 3), *small])), (202, "\n\n".join([*small, line(r, 2)])), (203, "\n".join([*small[:60], "", line(r, 2)])), (204, " \n" + "a b " * 30 + "\n"), (205, "q\n" + "a b " * 30)]
+    d = docs(rows + rows[:5])
+    got = {}
+    for x in L.without_repeated_runs(d).collect():
+        got.setdefault(x["doc_id"], set()).add((x["text"] or "", x["n_chars"]))
+    n = 0
+    for i, (gone, text) in slow(rows).items():
+        n += gone
+        if gone and not text.strip():
+            assert i not in got
+        else:
+            assert {t for t, _ in got[i]} == {text} and {c for _, c in got[i]} <= {len(text), None}
+    assert n > 20 and L.without_repeated_runs(d).columns == d.columns
+    assert L.without_repeated_runs(docs([])).count() == 0
