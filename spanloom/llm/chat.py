@@ -9,11 +9,14 @@ is kept as runs (skip, take), one a turn, so nothing in it grows faster than the
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 OPEN, HEAD_END, CLOSE = "<s>[", "]\n", "</s>"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -57,9 +60,50 @@ def known_paths(mappings=MAPPINGS) -> list[str]:
     return sorted({p for m in mappings for v in m.variants for p in v})
 
 
-def fingerprint(record: Column, mappings=MAPPINGS) -> Column:
-    """record: a variant. Null where it is null."""
-    has = [F.when(F.variant_get(record, p, "variant").isNotNull(), F.lit(p)) for p in known_paths(mappings)]
+@dataclass(frozen=True)
+class Reader:
+    """How a parsed record is read: whether it has a path, the string at a top field's path, and the (role, text) rows of a mapping's list."""
+
+    has: Callable[[str], Column]
+    string: Callable[[str], Column]
+    rows: Callable[[Mapping], Column]
+
+
+def by_variant(record: Column) -> Reader:
+    kind = lambda m: f"array<struct<`{m.role}`:string,`{m.text}`:string>>"
+    return Reader(lambda p: F.variant_get(record, p, "variant").isNotNull(), lambda p: F.try_variant_get(record, p, "string"), lambda m: F.try_variant_get(record, f"$.{m.items}", kind(m)))
+
+
+#: A variant's texts have at most 20 million characters, and itself 128 MB; records of so many bytes are read without one, with no limit to a text.
+LARGE = 16_000_000
+_WHOLE = {"maxStringLen": str(2**31 - 1)}
+
+
+def parse_large(record: Column, mappings=MAPPINGS) -> Column:
+    """The record's top fields as strings (without those of lists), and its lists; null where it isn't a JSON object."""
+    names = [m.items for m in mappings if m.items]
+    fields = F.transform_values(F.from_json(record, "map<string,string>", _WHOLE), lambda k, x: F.when(~k.isin(names), x))
+    lists = F.from_json(record, ", ".join(f"`{x}` array<map<string,string>>" for x in names), _WHOLE)
+    return F.when(fields.isNotNull(), F.struct(fields.alias("fields"), lists.alias("lists")))
+
+
+def by_fields(parsed: Column) -> Reader:
+    """Of what parse_large() gives."""
+
+    def has(path: str) -> Column:
+        top, _, inner = path.removeprefix("$.").partition("[0].")
+        if not inner:
+            return F.map_contains_key(parsed["fields"], top)
+        return F.coalesce(F.map_contains_key(F.get(parsed["lists"][top], F.lit(0)), inner), F.lit(False))
+
+    pairs = lambda m: F.transform(parsed["lists"][m.items], lambda x: F.struct(x[m.role].alias(m.role), x[m.text].alias(m.text)))
+    return Reader(has, lambda p: parsed["fields"][p.removeprefix("$.")], pairs)
+
+
+def fingerprint(record: Column, mappings=MAPPINGS, reader: Callable[[Column], Reader] = by_variant) -> Column:
+    """record: a variant, or what the reader reads. Null where it is null."""
+    read = reader(record)
+    has = [F.when(read.has(p), F.lit(p)) for p in known_paths(mappings)]
     return F.when(record.isNotNull(), F.substring(F.sha2(F.concat_ws("\n", *has), 256), 1, 16))
 
 
@@ -70,18 +114,18 @@ def _renamed(role: Column, names: dict[str, str]) -> Column:
     return out
 
 
-def turns_of(record: Column, print_: Column, mappings=MAPPINGS) -> Column:
+def turns_of(record: Column, print_: Column, mappings=MAPPINGS, reader: Callable[[Column], Reader] = by_variant) -> Column:
     """The canonical turns; null where no mapping has the fingerprint. Null roles and texts become empty."""
-    out = F.lit(None).cast(TURNS)
+    out, read = F.lit(None).cast(TURNS), reader(record)
     turn = lambda role, text: F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     for m in mappings:
         if m.items:
-            rows = F.coalesce(F.try_variant_get(record, f"$.{m.items}", f"array<struct<`{m.role}`:string,`{m.text}`:string>>"), F.array().cast(f"array<struct<`{m.role}`:string,`{m.text}`:string>>"))
+            rows = F.coalesce(read.rows(m), F.array().cast(f"array<struct<`{m.role}`:string,`{m.text}`:string>>"))
             made = F.transform(rows, lambda x: turn(_renamed(x[m.role], m.roles), x[m.text]))  # noqa: B023  called at once
         else:
-            made = F.array(*[turn(F.lit(role), F.concat_ws("\n", *[F.try_variant_get(record, p, "string") for p in paths])) for role, paths in m.fields if role != "system"])
+            made = F.array(*[turn(F.lit(role), F.concat_ws("\n", *[read.string(p) for p in paths])) for role, paths in m.fields if role != "system"])
             for role, (path,) in ((r, p) for r, p in m.fields if r == "system"):
-                has = F.try_variant_get(record, path, "string")
+                has = read.string(path)
                 made = F.when(has.isNotNull(), F.concat(F.array(turn(F.lit(role), has)), made)).otherwise(made)
         out = F.when(print_.isin([fingerprint_of(v) for v in m.variants]), made).otherwise(out)
     return out.cast(TURNS)
@@ -136,14 +180,21 @@ def format_records(records: DataFrame, record_col: str = "record", mappings=MAPP
     """records with fingerprint, layout, turns, formatted and loss_mask (columns of these names are replaced).
 
     A record that isn't JSON or has a fingerprint of no mapping keeps null turns, formatted and loss_mask. An empty list of messages is
-    an empty text. No rows give no rows; repeated rows are each formatted.
+    an empty text. No rows give no rows; repeated rows are each formatted. A record may have any size that a string of Spark may have
+    (2 GB); from LARGE bytes on it is parsed without a variant, whose limits would make it null. A larger conversation fails the task.
     """
-    v = F.try_parse_json(F.col(record_col))
-    out = records.withColumn("fingerprint", fingerprint(v, mappings))
+    (parsed,) = fresh(records, "parsed_large")
+    is_large = F.octet_length(record_col) >= LARGE
+    v = F.when(~is_large, F.try_parse_json(F.col(record_col)))
+    out = records.withColumn(parsed, F.when(is_large, parse_large(F.col(record_col), mappings)))
+    large = F.col(parsed)
+    out = out.withColumn("fingerprint", F.when(large.isNotNull(), fingerprint(large, mappings, by_fields)).otherwise(fingerprint(v, mappings)))
     layout = F.lit(None).cast("string")
     for m in mappings:
         layout = F.when(F.col("fingerprint").isin([fingerprint_of(x) for x in m.variants]), m.name).otherwise(layout)
-    out = out.withColumn("layout", layout).withColumn("turns", turns_of(v, F.col("fingerprint"), mappings))
+    out = out.withColumn("layout", layout)
+    turns = F.when(large.isNotNull(), turns_of(large, F.col("fingerprint"), mappings, by_fields)).otherwise(turns_of(v, F.col("fingerprint"), mappings))
+    out = out.withColumn("turns", turns).drop(parsed)
     text, mask = render(F.col("turns"))
     return out.withColumn("formatted", text).withColumn("loss_mask", mask)
 
