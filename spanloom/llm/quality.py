@@ -139,13 +139,11 @@ class WeakLabels:
 
 
 def fit(rows: list[np.ndarray], target: np.ndarray, epochs: int = 60, rate: float = 0.5, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Logistic regression on shares of hashed features, by full-batch Adagrad; deterministic."""
-    sizes = np.array([len(r) for r in rows])
-    ids = np.concatenate([np.concatenate([r & 0xFFFF, (r >> 16) & 0xFFFF]) for r in rows]) if len(rows) else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(rows)), 2 * sizes)
-    key, times = np.unique(row * BUCKETS + ids, return_counts=True)
-    row, ids = key // BUCKETS, key % BUCKETS
-    value = times / sizes[row]
+    """Logistic regression on shares of hashed features (rows as features() gives them), by full-batch Adagrad; deterministic."""
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    packed = np.concatenate(rows) if len(rows) else np.empty(0, np.int64)
+    ids, times = packed & 0xFFFF, packed >> 16
+    value = 2 * times / np.bincount(row, times, len(rows))[row]  # each word has two features
     w, bias, seen, seen_b = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(epochs):
         z = np.bincount(row, value * w[ids], len(rows)) + bias
@@ -165,6 +163,12 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n, pa.int64())], names=["pattern", "n"])
 
 
+def features(words: np.ndarray) -> np.ndarray:
+    """How often each hashed feature stands in a whole text, count and feature in one number; at most BUCKETS of them."""
+    ids, times = np.unique(np.concatenate([words & 0xFFFF, words >> 16 & 0xFFFF]), return_counts=True)
+    return times.astype(np.int64) << 16 | ids
+
+
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         p, x = [], []
@@ -172,8 +176,8 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             votes, n, words = look(t)
             if n:
                 p.append(pattern(votes))
-                x.append(np.resize(words, min(n, 2000)).astype(np.int64) if n <= 2000 else words[np.linspace(0, n - 1, 2000).astype(np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array([r & 0xFFFFFFFF for r in x], pa.list_(pa.int64()))], names=["pattern", "words"])
+                x.append(features(words))
+        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(x, pa.list_(pa.int64()))], names=["pattern", "features"])
 
 
 class Scorer:
@@ -202,10 +206,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     if not total:
         return Scorer(labels, np.zeros(BUCKETS), 0.0)
     every = max(1, -(-total // sample))
-    some = text.filter(F.pmod("draw", F.lit(every)) == 0).select("text").mapInArrow(_samples, "pattern long, words array<long>")
+    some = text.filter(F.pmod("draw", F.lit(every)) == 0).select("text").mapInArrow(_samples, "pattern long, features array<long>")
     got = some.limit(2 * sample).toArrow()  # by hash of the id about `sample` rows; the limit bounds what an id that many rows repeat may add
-    words = got.column("words").combine_chunks()
-    values, ends = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy()
+    found = got.column("features").combine_chunks()
+    values, ends = found.values.to_numpy(zero_copy_only=False), found.offsets.to_numpy()
     rows = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes()))  # the arrival order has no say
     p = np.array(got.column("pattern").to_pylist(), np.int64)[order] if order else np.empty(0, np.int64)
