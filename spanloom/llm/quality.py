@@ -198,16 +198,20 @@ class Scorer:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
     text_batches(docs.sparkSession)
-    text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(8)).alias("draw"))
+    text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(8)).alias("draw"))
     counted = text.select("text").mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 3**7 rows
     counts = {r["pattern"]: r["n"] for r in counted}
     total = sum(counts.values())
     labels = WeakLabels(np.array(sorted(counts), np.int64), np.array([counts[k] for k in sorted(counts)], float))
     if not total:
         return Scorer(labels, np.zeros(BUCKETS), 0.0)
-    every = max(1, -(-total // sample))
-    some = text.filter(F.pmod("draw", F.lit(every)) == 0).select("text").mapInArrow(_samples, "pattern long, features array<long>")
-    got = some.limit(2 * sample).toArrow()  # by hash of the id about `sample` rows; the limit bounds what an id that many rows repeat may add
+    every = max(1, -(-text.agg(F.approx_count_distinct("draw")).first()[0] // sample))
+    while True:  # about `sample` documents by hash of id and text, those alike in both once
+        some = text.filter(F.pmod("draw", F.lit(every)) == 0).dropDuplicates(["draw"]).select("text")
+        got = some.mapInArrow(_samples, "pattern long, features array<long>").toArrow()
+        if got.num_rows or every == 1:
+            break
+        every = every // 2  # no document with a word was drawn
     found = got.column("features").combine_chunks()
     values, ends = found.values.to_numpy(zero_copy_only=False), found.offsets.to_numpy()
     rows = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]

@@ -19,3 +19,14 @@ def test_fit_takes_shares():
     w, b = Q.fit(rows, np.array([1.0, 1.0, 0.0, 0.0]))
     z = [float((w[r & 0xFFFF] * (r >> 16)).sum()) / (r >> 16).sum() * 2 + b for r in rows]
     assert min(z[:2]) > 0 > max(z[2:])
+
+
+def test_null_ids_are_drawn_one_by_one(docs, monkeypatch):
+    """Rows without an id don't share a draw: the sample holds about as many as it should, and those alike count once."""
+    sizes, fit = [], Q.fit
+    monkeypatch.setattr(Q, "fit", lambda rows, target: sizes.append(len(rows)) or fit(rows, target))
+    rows = [(None, f"This is the text of the document number {i}, and it ends here.") for i in range(300)]
+    Q.train(docs(rows + rows[:100]), sample=60)
+    Q.train(docs(rows[:1] * 50), sample=10)
+    Q.train(docs([(i, " ") for i in range(200)] + rows[:1]), sample=2)
+    assert 30 < sizes[0] < 100 and sizes[1:] == [1, 1]
