@@ -16,6 +16,7 @@ share is ranked by many tasks.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -41,14 +42,16 @@ def public_tokenizer() -> str:
 class WordIds:
     """A word (bytes without ASCII white space) to its ids as little-endian unsigned 32-bit integers.
 
-    The tokenizer turns white space into single blanks, splits there and drops them, so a text's ids are those of its
-    words in order. It lower-cases, and letters and the marks behind them are tokens apart; so a document's new words that are
-    letters, or letters and ASCII marks without an apostrophe, are put together from the two, and all new runs of letters are encoded
-    in one call: each ends with an id that ends a word. Other words are encoded by themselves. Emptied when it has grown to
+    The tokenizer composes characters, turns white space into single blanks, lower-cases and splits at blanks, which it drops; so a text's
+    ids are those of its words in order. Letters and the marks behind them are tokens apart. So a word whose letters are all in PLAIN, which
+    the normaliser leaves letters, with any ASCII marks but an apostrophe behind them, is put together from the two, and all new runs of letters are encoded
+    in one call: each ends with an id that ends a word. Every other word is encoded whole. Emptied when it has grown to
     800,000 words; words of over 64 bytes aren't kept. A Python worker keeps one for all its tasks.
     """
 
     MARKS, MOST = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~', 800_000
+    #: Letters of ASCII, Latin-1, Greek and Cyrillic that compose with nothing here and whose lower case is one letter.
+    PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿĀ-įıĴ-ňŊ-žΑ-ΡΤ-Ωα-ρτ-ωА-яЀ-џ]+")
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer, self.known = tokenizer, {}
@@ -56,21 +59,24 @@ class WordIds:
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
 
-    def encode(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(x.ids, "<u4") for x in found]
+
+    def plain(self, core: bytes) -> bool:
+        return core.isalpha() or not core.isascii() and self.PLAIN.fullmatch(core.decode("utf-8", "replace")) is not None
 
     def learn(self, words: list[bytes]) -> None:
-        known, made = self.known, []
+        known, made, other = self.known, [], []
         for w in words:
             core = w.rstrip(self.MARKS)
-            if core.isalpha():
-                made.append((w, core.lower(), w[len(core) :]))
-            elif core and not core.isascii() and core.decode("utf-8", "replace").isalpha():
-                made.append((w, core, w[len(core) :]))
+            if core and self.plain(core):
+                made.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
             else:
-                known[w] = self.encode(w).tobytes()
+                other.append(w)
+        known.update(zip(other, (x.tobytes() for x in self.encode(other)), strict=True))
         new = list({c for _, c, _ in made}.difference(known))
-        ids = self.encode(b" ".join(new))
+        (ids,) = self.encode([b" ".join(new)])
         ends = np.flatnonzero(self.ends[ids]).tolist()
         if len(ends) == len(new):
             raw, at = ids.tobytes(), 0
@@ -78,10 +84,10 @@ class WordIds:
                 known[c] = raw[4 * at : 4 * end + 4]
                 at = end + 1
         else:
-            known.update((c, self.encode(c).tobytes()) for c in new)
+            known.update(zip(new, (x.tobytes() for x in self.encode(new)), strict=True))
         for w, core, marks in made:
             if marks and marks not in known:
-                known[marks] = self.encode(marks).tobytes()
+                known[marks] = self.encode([marks])[0].tobytes()
             known[w] = known[core] + known[marks] if marks else known[core]
 
     def ids(self, text: bytes) -> bytes:
@@ -200,7 +206,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
                 sequences += n
                 continue
             gap, first, n = lot
-            each = min(gap // s, max(1, left[s] // n))  # a lot is filled sequence by sequence, as best fit does
+            each = min(gap // s, left[s])  # what is left of a gap is smaller than any other that fits: one sequence is filled before the next
             fill = min(n, left[s] // each)
             put(s, fill * each, first, capacity - gap, each)
             gaps.add(gap - each * s, first, fill)
@@ -243,7 +249,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
-    ranked = by.withColumn("in", F.row_number().over(inside)).join(starts, ["length", "salt"])
+    # both sides are dealt by length and salt already or are few rows a task; the starts grow with the pieces, so they aren't broadcast
+    ranked = by.withColumn("in", F.row_number().over(inside)).join(starts.hint("merge"), ["length", "salt"])
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("in") - 1).alias("rank")]
     return ranked.select(*cols).mapInArrow(_place(runs), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 

@@ -1,4 +1,6 @@
+import bisect
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -21,6 +23,23 @@ def test_ids_are_the_tokenizers():
             assert np.frombuffer(w.ids((x or "").encode()), "<u4").tolist() == want
 
 
+def test_ids_of_letters_of_all_scripts():
+    """Each letter and combining mark of Unicode, with marks behind it, and all pairs of the letters that are put together."""
+    t = Tokenizer.from_file(P.public_tokenizer())
+    w = P.WordIds(t)
+    letters = [chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c))[0] in "LM"]
+    plain = [c for c in letters if w.plain(c.encode())]
+    words = [f"b{c}{m}" for c in letters for m in (".", ",a", "'s", '"-')] + ["হয়,", "क़लम,", "ਲ਼.", "İ."] + [a + b for a in plain for b in plain]
+    for i in range(0, len(words), 4000):
+        x = " ".join(words[i : i + 4000])
+        assert w.ids(x.encode()) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    r = random.Random(1)
+    pool = plain + list("abcXYZ.,'!_") + r.sample(letters, 2000)
+    for _ in range(1500):
+        x = " ".join("".join(r.choices(pool, k=r.randint(1, 6))) + r.choice([".", ",", "!?", "_", ")", "-x", '"', "'s", ""]) for _ in range(8))
+        assert np.frombuffer(w.ids(x.encode()), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def check(lengths, runs, capacity):
     seen, bins = Counter(), {}
     for length, first, n, seq, offset, each in runs.tolist():
@@ -45,6 +64,38 @@ def test_plan_is_a_packing(case):
     assert n <= 2 * -(-sum(lengths) // capacity) or not lengths  # any best fit is within this
 
 
+def item_by_item(lengths, capacity):
+    """The number of sequences: the same matching of large items, piece by piece, then each smaller piece to the smallest gap that takes it."""
+    large, gaps = sorted(x for x in lengths if 3 * x > capacity), []
+    while large:
+        a = large.pop()
+        k = bisect.bisect_right(large, capacity - a) - 1
+        gaps.append(capacity - a - (large.pop(k) if k >= 0 else 0))
+    gaps.sort()
+    for s in sorted((x for x in lengths if 3 * x <= capacity), reverse=True):
+        k = bisect.bisect_left(gaps, s)
+        gap = gaps.pop(k) if k < len(gaps) else capacity
+        bisect.insort(gaps, gap - s)
+    return gaps
+
+
+def test_plan_is_best_fit():
+    """The gaps that are left are those that best fit leaves, piece by piece."""
+    r = random.Random(4)
+    cases = [({3096: 10, 300: 15}, 4096), ({252: 13, 2632: 14, 482: 10, 1030: 7, 389: 10}, 4096)]
+    for _ in range(3000):
+        c = r.choice([7, 30, 100, 4096])
+        cases.append(({r.randint(1, c): r.randint(1, 15) for _ in range(r.randint(1, 8))}, c))
+    for counts, c in cases:
+        lengths = [k for k, n in counts.items() for _ in range(n)]
+        runs = P.plan(counts, c)
+        used = Counter()
+        for length, _, n, seq, _, each in runs.tolist():
+            for i in range(n):
+                used[seq + i // each] += length
+        assert sorted(c - x for x in used.values()) == item_by_item(lengths, c)
+
+
 def test_plan_is_tight():
     r = random.Random(0)
     lengths = [min(4096, int(r.lognormvariate(6, 1))) + 1 for _ in range(20_000)]
@@ -74,4 +125,5 @@ def test_documents(spark, docs):
             assert offset == at
             at += length
         assert at <= 4096
+    assert len(by) == len(item_by_item([g["length"] for g in got], 4096))
     assert P.pack_documents(docs([])).count() == 0
