@@ -40,7 +40,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.repeated_chunks(table(spark, sf_dir, "documents"))
+    return linededup.deduplicated(table(spark, sf_dir, "documents"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

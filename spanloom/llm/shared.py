@@ -29,10 +29,10 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/spanloom-{what}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, what: str) -> DataFrame:
+def settle(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, and a lost executor loses no files."""
     spark, path = df.sparkSession, new_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
     return out
@@ -46,6 +46,15 @@ def drop_settled(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys that are broadcast at most: a few MB. More are joined by shuffle.
+BROADCAST_KEYS = 200_000
+
+
+def semi(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """df's rows whose columns are among the keys, a settled table, whose rows its files count. Up to BROADCAST_KEYS are broadcast, so df isn't shuffled."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("merge"), list(on), "left_semi")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that df hasn't."""
     have, out = {c.lower() for c in df.columns}, []
