@@ -5,7 +5,8 @@ votes of all documents estimates how often each labeller says what of good and o
 posterior. The posteriors are the labels on which a linear scorer over hashed words and word shapes is trained; the scorer
 judges every document. No true labels are used.
 
-Vote patterns are counted where the documents are; with seven labellers there are at most 3**7 = 2,187 of them,
+Each text is looked at once: its vote pattern and its features (hashed words and shapes with their numbers, at most 65,536) are written
+to the shared folder, and counts, the sample and all scores come from there. With seven labellers there are at most 3**7 = 2,187 vote patterns,
 so the estimation runs on the driver. The scorer is fitted on a bounded sample (`sample` documents, by hash); everything
 else covers all documents.
 """
@@ -13,7 +14,6 @@ else covers all documents.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_batches
+from .shared import fresh, settle, text_batches
 
 
 BUCKETS = 1 << 16
@@ -32,6 +32,8 @@ _SHAPE = bytes.maketrans(bytes(range(256)), bytes(0x61 if 97 <= c <= 122 or c >=
 _RUN = re.compile(rb"(.)\1+", re.S)
 _AGAIN = xxhash.xxh3_64_intdigest(b"again") % BUCKETS
 _LOUD, _SYMBOL, _BARE, _SHORT = 1, 2, 4, 8
+#: A word that stands among so many before it is a repeated one.
+NEAR = 50
 
 
 def _describe(word: bytes) -> int:
@@ -50,7 +52,7 @@ def _describe(word: bytes) -> int:
     if letters == len(raw) <= 4:
         marks |= _SHORT
     a = xxhash.xxh3_64_intdigest(b"w" + word.lower()) % BUCKETS
-    b = xxhash.xxh3_64_intdigest(b"s" + shape[:24]) % BUCKETS
+    b = xxhash.xxh3_64_intdigest(b"s" + shape) % BUCKETS
     return a | b << 16 | marks << 32
 
 
@@ -74,25 +76,29 @@ def look(text: bytes | None) -> tuple[np.ndarray, int, np.ndarray]:
     if not n:
         return np.full(len(LABELLERS), -1, np.int8), 0, np.empty(0, np.int64)
     x = np.fromiter(map(_WORDS.__getitem__, words), np.int64, n)
-    same = np.flatnonzero((x[1:] & 0xFFFF) == (x[:-1] & 0xFFFF)) + 1
+    ids = (x & 0xFFFF).astype(np.uint16)
+    order = np.argsort(ids, kind="stable")  # by radix
+    near = np.count_nonzero((ids[order[1:]] == ids[order[:-1]]) & (np.diff(order) <= NEAR))
+    same = np.flatnonzero(ids[1:] == ids[:-1]) + 1
     x[same] = x[same] & ~np.int64(0xFFFF << 16) | _AGAIN << 16  # a word that follows itself has that as its shape
     m = np.bincount(x >> 32, minlength=16)
-    share = [sum(m[k] for k in range(16) if k & bit) / n for bit in (_LOUD, _SYMBOL, _BARE, _SHORT)]
-    unique = len(set(words)) / n
+    loud, symbol, bare, short = (sum(m[k] for k in range(16) if k & bit) for bit in (_LOUD, _SYMBOL, _BARE, _SHORT))
     lines = [s for s in (s.strip() for s in text.split(b"\n")) if s]
-    again = 1 - len(set(lines)) / len(lines)
-    ends = sum(s.endswith((b".", b"!", b"?", b":", b'"', b")")) for s in lines) / len(lines)
+    again = len(lines) - len(set(lines))
+    size, ended = sum(map(len, lines)), sum(len(s) for s in lines if s.endswith((b".", b"!", b"?", b":", b'"', b")")))
     vote = lambda good, bad: 1 if good else 0 if bad else -1
+    # the last four are shares with some words, lines or bytes of no opinion added, so that few of them give no vote
+    near_, short_, again_, ends_ = (near + 4.5) / (n + 10), (short + 2.3) / (n + 20), (again + 0.75) / (len(lines) + 3), (ended + 156) / (size + 240)
     return (
         np.array(
             [
-                vote(share[1] < 0.05, share[1] > 0.15),
-                vote(share[0] < 0.1, share[0] > 0.3),
-                vote(share[2] < 0.02, share[2] > 0.1),
-                vote(unique > 0.4, unique < 0.35 and n >= 20 and n < 3000 or unique < 0.1),
-                vote(share[3] > 0.15, share[3] < 0.08 and n >= 20),
-                vote(again < 0.1, again > 0.4 and len(lines) >= 5),
-                vote(ends > 0.8, ends < 0.5 and n >= 30),
+                vote(symbol / n < 0.05, symbol / n > 0.15),
+                vote(loud / n < 0.1, loud / n > 0.3),
+                vote(bare / n < 0.02, bare / n > 0.1),
+                vote(near_ < 0.4, near_ > 0.5),
+                vote(short_ > 0.15, short_ < 0.08),
+                vote(again_ < 0.1, again_ > 0.4),
+                vote(ends_ > 0.8, ends_ < 0.5),
             ],
             np.int8,
         ),
@@ -138,17 +144,15 @@ class WeakLabels:
         return right / self.given.sum(0)
 
 
-def fit(rows: list[np.ndarray], target: np.ndarray, epochs: int = 60, rate: float = 0.5, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Logistic regression on shares of hashed features (rows as features() gives them), by full-batch Adagrad; deterministic."""
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    packed = np.concatenate(rows) if len(rows) else np.empty(0, np.int64)
-    ids, times = packed & 0xFFFF, packed >> 16
-    value = 2 * times / np.bincount(row, times, len(rows))[row]  # each word has two features
+def fit(ids: np.ndarray, times: np.ndarray, sizes: np.ndarray, target: np.ndarray, epochs: int = 60, rate: float = 0.5, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Logistic regression on shares of hashed features (features() of all rows, one after the other, and their numbers), by full-batch Adagrad; deterministic."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    value = 2 * times / np.bincount(row, times, len(sizes))[row]  # each word has two features
     w, bias, seen, seen_b = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(epochs):
-        z = np.bincount(row, value * w[ids], len(rows)) + bias
+        z = np.bincount(row, value * w[ids], len(sizes)) + bias
         g = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - target
-        grad = np.bincount(ids, value * g[row], BUCKETS) / len(rows) + ridge * w
+        grad = np.bincount(ids, value * g[row], BUCKETS) / len(sizes) + ridge * w
         seen += grad**2
         w -= rate * grad / np.sqrt(seen)
         b = g.mean()
@@ -157,103 +161,101 @@ def fit(rows: list[np.ndarray], target: np.ndarray, epochs: int = 60, rate: floa
     return w, bias
 
 
-def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        seen, n = np.unique([pattern(look(t)[0]) for t in b.column(0).cast(pa.binary()).to_pylist()], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n, pa.int64())], names=["pattern", "n"])
+def features(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of a whole text, as 16-bit numbers, and how often each stands in it; at most BUCKETS of them."""
+    ids, times = np.unique(np.concatenate([words & 0xFFFF, words >> 16 & 0xFFFF]).astype("<u2"), return_counts=True)
+    return ids, times.astype("<u4")
 
 
-def features(words: np.ndarray) -> np.ndarray:
-    """How often each hashed feature stands in a whole text, count and feature in one number; at most BUCKETS of them."""
-    ids, times = np.unique(np.concatenate([words & 0xFFFF, words >> 16 & 0xFFFF]), return_counts=True)
-    return times.astype(np.int64) << 16 | ids
+_LOOKED = "struct<pattern:bigint,ids:binary,times:binary>"
 
 
-def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        p, x = [], []
-        for t in b.column(0).cast(pa.binary()).to_pylist():
-            votes, n, words = look(t)
-            if n:
-                p.append(pattern(votes))
-                x.append(features(words))
-        yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(x, pa.list_(pa.int64()))], names=["pattern", "features"])
+def _look(texts: pa.Array) -> pa.Array:
+    p, ids, times = [], [], []
+    for t in texts.cast(pa.binary()).to_pylist():
+        votes, _, words = look(t)
+        i, n = features(words)
+        p.append(pattern(votes))
+        ids.append(i.tobytes())
+        times.append(n.tobytes())
+    return pa.StructArray.from_arrays([pa.array(p, pa.int64()), pa.array(ids, pa.binary()), pa.array(times, pa.binary())], ["pattern", "ids", "times"])
+
+
+def looked_at(docs: DataFrame, id_col: str, text_col: str, seen: str, draw: str) -> DataFrame:
+    """docs, settled, with what one look at each text gives, and a hash of id and text to draw samples by."""
+    text_batches(docs.sparkSession)
+    own = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(8))
+    out = docs.withColumn(draw, own).withColumn(seen, F.arrow_udf(_look, _LOOKED)(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return settle(out, "looked", compression="zstd")
 
 
 class Scorer:
     """What a fit gives: the weak-label model and the linear scorer."""
 
     def __init__(self, labels: WeakLabels, weights: np.ndarray, bias: float) -> None:
-        self.labels, self.weights, self.bias = labels, weights.astype(np.float32), bias
-
-    def __call__(self, text: bytes | None) -> tuple[float, float, int]:
-        """(score, posterior of the votes alone, number of words)."""
-        votes, n, x = look(text)
-        post = float(self.labels.posterior(np.array([pattern(votes)]))[0])
-        if not n:
-            return 0.0, post, 0
-        z = float(self.weights[x & 0xFFFF].sum() + self.weights[(x >> 16) & 0xFFFF].sum()) / n + self.bias
-        return 1 / (1 + np.exp(-min(50.0, max(-50.0, z)))), post, n
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scorer:
-    text_batches(docs.sparkSession)
-    text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(8)).alias("draw"))
-    counted = text.select("text").mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 3**7 rows
-    counts = {r["pattern"]: r["n"] for r in counted}
-    total = sum(counts.values())
+        self.labels, self.weights, self.bias = labels, weights, bias
+
+    def __call__(self, ids: bytes, times: bytes) -> tuple[float, int]:
+        """(score, number of words) of a text's features."""
+        n = np.frombuffer(times, "<u4")
+        words = int(n.sum(dtype=np.int64)) // 2
+        if not words:
+            return 0.0, 0
+        z = float(self.weights[np.frombuffer(ids, "<u2")] @ n) / words + self.bias
+        return 1 / (1 + float(np.exp(-min(50.0, max(-50.0, z))))), words
+
+
+def train(looked: DataFrame, seen: str, draw: str, sample: int = SAMPLE) -> Scorer:
+    """looked: as looked_at() gives it."""
+    text = looked.select(f"{seen}.*", F.col(draw).alias("draw"))
+    counts = {r["pattern"]: r["count"] for r in text.groupBy("pattern").count().collect()}  # at most 3**7 rows
     labels = WeakLabels(np.array(sorted(counts), np.int64), np.array([counts[k] for k in sorted(counts)], float))
-    if not total:
-        return Scorer(labels, np.zeros(BUCKETS), 0.0)
+    none = Scorer(labels, np.zeros(BUCKETS), 0.0)
+    text = text.filter(F.octet_length("ids") > 0)
     every = max(1, -(-text.agg(F.approx_count_distinct("draw")).first()[0] // sample))
     while True:  # about `sample` documents by hash of id and text, those alike in both once
-        some = text.filter(F.pmod("draw", F.lit(every)) == 0).dropDuplicates(["draw"]).select("text")
-        got = some.mapInArrow(_samples, "pattern long, features array<long>").toArrow()
+        got = text.filter(F.pmod("draw", F.lit(every)) == 0).dropDuplicates(["draw"]).toArrow()
         if got.num_rows or every == 1:
             break
-        every = every // 2  # no document with a word was drawn
-    found = got.column("features").combine_chunks()
-    values, ends = found.values.to_numpy(zero_copy_only=False), found.offsets.to_numpy()
-    rows = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes()))  # the arrival order has no say
-    p = np.array(got.column("pattern").to_pylist(), np.int64)[order] if order else np.empty(0, np.int64)
-    if not len(p):
-        return Scorer(labels, np.zeros(BUCKETS), 0.0)
-    return Scorer(labels, *fit([rows[i] for i in order], labels.posterior(p)))
+        every = every // 2
+    if not got.num_rows:
+        return none
+    order = np.argsort(got.column("draw").to_numpy())  # the arrival order has no say
+    ids, times = ([np.frombuffer(x, t) for x in got.column(c).take(order).to_pylist()] for c, t in (("ids", "<u2"), ("times", "<u4")))
+    target = labels.posterior(got.column("pattern").to_numpy()[order])
+    return Scorer(labels, *fit(np.concatenate(ids), np.concatenate(times).astype(np.int64), np.array([len(x) for x in ids]), target))
 
 
 def _scores(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(ids: pa.Array, times: pa.Array, patterns: pa.Array) -> pa.Array:
         m: Scorer = model.value
-        for b in batches:
-            out = [m(t) for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.float64(), pa.float64(), pa.int64())))], names=[*b.schema.names[:-1], "score", "posterior", "n_words"])
+        out = [m(i, n) for i, n in zip(ids.to_pylist(), times.to_pylist(), strict=True)]
+        post = m.labels.posterior(patterns.to_numpy(zero_copy_only=False))
+        return pa.StructArray.from_arrays([pa.array([r[0] for r in out], pa.float64()), pa.array(post, pa.float64()), pa.array([r[1] for r in out], pa.int64())], ["score", "posterior", "n_words"])
 
     return run
 
 
+def _scored(docs: DataFrame, id_col: str, text_col: str, sample: int) -> tuple[DataFrame, str]:
+    """docs with a column of score, posterior and n_words."""
+    seen, draw, scored = fresh(docs, "seen", "draw", "scored")
+    looked = looked_at(docs, id_col, text_col, seen, draw)
+    model = docs.sparkSession.sparkContext.broadcast(train(looked, seen, draw, sample))
+    score = F.arrow_udf(_scores(model), "struct<score:double,posterior:double,n_words:bigint>")(f"{seen}.ids", f"{seen}.times", f"{seen}.pattern")
+    return looked.withColumn(scored, score), scored
+
+
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """(id_col, score, posterior, n_words, keep): score of the linear model, posterior of the votes, keep = score >= least.
 
     A null, empty or blank text scores 0 and is rejected. Rows are judged one by one, so repeated rows repeat; a null id stays null.
     Other columns are not looked at. No rows give no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, sample))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    scored = base.mapInArrow(_scores(model), "id long, score double, posterior double, n_words long")
-    return scored.select(F.col("id").alias(id_col), "score", "posterior", "n_words", (F.col("score") >= least).alias("keep"))
-
-
-def _kept(model, at: int, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Scorer = model.value
-        for b in batches:
-            yield b.filter(pa.array([m(t)[0] >= least for t in b.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
-
-    return run
+    of, scored = _scored(docs.select(F.col(id_col), F.col(text_col)).withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, sample)
+    return of.select(id_col, f"{scored}.*").withColumn("keep", F.col("score") >= least)
 
 
 def good_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that quality() keeps, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, sample))
-    return docs.mapInArrow(_kept(model, docs.columns.index(text_col), least), docs.schema)
+    of, scored = _scored(docs, id_col, text_col, sample)
+    return of.filter(F.col(f"{scored}.score") >= least).select(docs.columns)
