@@ -8,10 +8,11 @@
    star): a bucket of m members gives m - 1 pairs.
 4. Pairs are confirmed on the full sets, taken from the whole texts, and links become components.
 5. A star can miss a link between two members that both differ from the hub. Buckets whose members, without the
-   hub, still lie in several components are joined to clusters where they overlap, and the members of a cluster are
-   compared in blocks of a bounded size: each task takes two blocks and returns links enough to connect what is
-   linked, never more than it has documents. So every link whose two documents share a bucket is found, and buckets
-   inside one component, the usual large ones, are done after their star.
+   hub, still lie in several components are joined to clusters where they overlap. First the sketches of a cluster's members are
+   compared, in blocks of a bounded size, which needs no texts: members that can't reach the similarity with any member of another component
+   are done, and what is left falls into smaller clusters. Then the texts of these are compared, also in blocks: each task takes two blocks and returns
+   links enough to connect what is linked, never more than it has documents. So every link whose two documents share a bucket is found, and
+   buckets inside one component, the usual large ones, are done after their star.
 
 A pair of similarity 0.8 shares none of the 32 buckets of 5 bins with a probability below 4e-6.
 """
@@ -27,17 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_settled, fresh, settle, text_batches
+from .shared import drop_settled, fresh, semi, settle, text_batches
 
 _M = np.uint64
 _C1, _C2, _P = _M(0xBF58476D1CE4E5B9), _M(0x94D049BB133111EB), _M(0x9E3779B97F4A7C15)
 BANDS, ROWS, SKETCH = 32, 5, 5
 #: Sets below this size are confirmed without a look at the sketch.
 SMALL = 64
-#: Ids hash to so many cells; the cells in use are at most as many longs (32 MB), so they can be broadcast, and texts of other cells aren't shuffled.
-ENDS = 1 << 22
-#: Documents and shingles of a block, about.
-BLOCK_DOCS, BLOCK_SHINGLES = 128, 200_000
+#: Documents and shingles of a block whose texts are compared, and documents of one whose sketches are, about.
+BLOCK_DOCS, BLOCK_SHINGLES, BLOCK_SKETCHES = 256, 300_000, 2048
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,7 +106,7 @@ def _sketches(k: int, bands: int, rows: int):
         for b in batches:
             n, lo, hi, keys, bits = [], [], [], [], []
             with np.errstate(over="ignore"):
-                for text in b.column(1).cast(pa.binary()).to_pylist():
+                for text in b.column(2).cast(pa.binary()).to_pylist():
                     s = shingle_set(text, k, cache)
                     n.append(len(s))
                     d = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -126,8 +125,8 @@ def _sketches(k: int, bands: int, rows: int):
                     two = np.concatenate([f & _M(1), (f >> _M(7)) & _M(1)]).astype(np.uint8)
                     bits.append(np.packbits(two[: SKETCH * 64]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(np.array(lo, _M).view(np.int64)), pa.array(np.array(hi, _M).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                names=["id", "n", "lo", "hi", "keys", "bits"],
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(np.array(lo, _M).view(np.int64)), pa.array(np.array(hi, _M).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                names=["id", "th", "n", "lo", "hi", "keys", "bits"],
             )
 
     return run
@@ -137,21 +136,21 @@ def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, sets = _WordHashes(), {}
 
-        def of(i: int, text: bytes) -> np.ndarray:
-            if i not in sets:
+        def of(key: tuple[int, int], text: bytes) -> np.ndarray:
+            if key not in sets:
                 if len(sets) > 64:
                     sets.clear()
-                sets[i] = shingle_set(text, k, cache)
-            return sets[i]
+                sets[key] = shingle_set(text, k, cache)
+            return sets[key]
 
         for b in batches:
             with np.errstate(over="ignore"):
                 ok = []
-                for i, j, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True):
-                    s, t = of(i, x), shingle_set(y, k, cache)
+                for i, h, x, y in zip(*(b.column(c).to_pylist() for c in (0, 1)), *(b.column(c).cast(pa.binary()).to_pylist() for c in (3, 4)), strict=True):
+                    s, t = of((i, h), x), shingle_set(y, k, cache)
                     both = len(np.intersect1d(s, t, assume_unique=True)) if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) else 0
                     ok.append(100 * both >= percent * (len(s) + len(t) - both) and both > 0)
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            yield b.select([0, 2]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -179,14 +178,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of ids (distinct), and those of a few other ids that share a cell with one: the joins on ids that follow leave these out. So
-    texts aren't shuffled to find them."""
-    cell = F.pmod(F.xxhash64("id"), F.lit(ENDS))
-    cells = ids.select(cell.alias("cell")).distinct()
-    return texts.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi").drop("cell")
-
-
 def _links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Of all pairs of the sets that are linked, enough to connect them: at most one a set. The numbers of shared
     shingles come from products of incidence matrices, so many columns at a time."""
@@ -219,49 +210,117 @@ def _links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(k: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, at, ids, sets = _WordHashes(), None, [], []
+def _by_cell(names: list[str], close):
+    """For batches sorted by cell (the first three columns): close(rows) for each cell of more than one row, as (a, b)."""
 
-        def close() -> list[tuple[int, int]]:
-            return [(ids[i], ids[j]) for i, j in _links(sets, percent)] if len(ids) > 1 else []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
 
         def batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], pa.int64()) for x in (0, 1)], names=["a", "b"])
 
         for b in batches:
             out = []
-            with np.errstate(over="ignore"):
-                for *cell, i, text in zip(*(c.to_pylist() for c in b.columns[:4]), b.column(4).cast(pa.binary()).to_pylist(), strict=True):
-                    if cell != at:
-                        out += close()
-                        at, ids, sets = cell, [], []
-                    ids.append(i)
-                    sets.append(shingle_set(text, k, cache))
+            for *cell, row in zip(*(c.to_pylist() for c in b.columns[:3]), zip(*(b.column(n).to_pylist() for n in names), strict=True), strict=True):
+                if cell != at:
+                    out += close(held) if len(held) > 1 else []
+                    at, held = cell, []
+                held.append(row)
             yield batch(out)
-        yield batch(close())
+        yield batch(close(held) if len(held) > 1 else [])
 
     return run
 
 
-def _in_blocks(buckets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """buckets (a, b, n): b of size n lies in a bucket whose least member is a. Links (a, b) that connect what is linked."""
-    nodes = settle(buckets.groupBy(F.col("b").alias("id")).agg(F.min("n").alias("n")), "nodes")
-    clusters = components(buckets.filter("a <> b").select("a", "b"))
-    nodes = nodes.join(clusters.withColumnRenamed("node", "id"), "id")
-    blocks = nodes.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
-    blocks = blocks.select("comp", F.least("m", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("all") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    own = nodes.join(blocks, "comp").select("id", "comp", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = own.select("id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    sent = cells.join(_only(texts, nodes.select("id")), "id").select("comp", "i", "j", "id", "text")
-    return sent.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_compare(shingle, percent), "a long, b long")
+def _compare(k: int, percent: int):
+    """(id, text): the links of a cell."""
+    cache = _WordHashes()
+
+    def close(rows: list[tuple]) -> list[tuple[int, int]]:
+        with np.errstate(over="ignore"):
+            return [(rows[i][0], rows[j][0]) for i, j in _links([shingle_set(t.encode(), k, cache) for _, t in rows], percent)]
+
+    return _by_cell(["id", "text"], close)
+
+
+def _most_apart(percent: int, bins: int) -> int:
+    """Bits in which sketches of sets of this similarity differ, but once in a few million."""
+    p = percent / 100
+    return math.ceil(bins * (1 - p) + 5 * math.sqrt(bins * p * (1 - p) + 2 * bins * (1 - p) / 4))
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a symmetric matrix that connect what it connects: at most one a row."""
+    new, out = np.ones(len(near), bool), []
+    for root in range(len(near)):
+        if new[root]:
+            new[root], wave = False, np.array([root])
+            while len(wave):
+                rows = near[wave] & new
+                found = np.flatnonzero(rows.any(axis=0))
+                out += zip(wave[rows[:, found].argmax(axis=0)].tolist(), found.tolist(), strict=True)
+                new[found], wave = False, found
+    return out
+
+
+def _near(percent: int, bins: int):
+    """(id, n, star, bits): edges between members of a cell that lie in different components and may be linked."""
+    most = _most_apart(percent, bins)
+
+    def close(rows: list[tuple]) -> list[tuple[int, int]]:
+        ids, n, star = (np.array([r[x] for r in rows], np.int64) for x in (0, 1, 2))
+        bits = np.array([r[3] for r in rows], np.int64).view(_M)
+        near = np.empty((len(rows), len(rows)), bool)
+        for at in range(0, len(rows), 128):
+            part = slice(at, at + 128)
+            apart = np.bitwise_count(bits[part, None, :] ^ bits[None]).sum(axis=2, dtype=np.int16)
+            low, high = np.minimum(n[part, None], n), np.maximum(n[part, None], n)
+            near[part] = (100 * low >= percent * high) & ((low < SMALL) | (apart <= most)) & (star[part, None] != star)
+        return [(int(ids[i]), int(ids[j])) for i, j in forest(near)]
+
+    return _by_cell(["id", "n", "star", "bits"], close)
+
+
+def _cells(nodes: DataFrame, blocks: Column) -> DataFrame:
+    """nodes (comp, m, ...) once for each cell (comp, i, j) of two blocks of their cluster of m members, sorted by cell in a task."""
+    n = nodes.withColumn("blocks", F.least("m", blocks).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", "th"), F.col("blocks")).cast("int"))
+    each = n.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *[c for c in nodes.columns if c not in ("comp", "m", "all")])
+
+
+def _clustered(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes that the links join, with their cluster comp, its members m and their shingles all; others are left out."""
+    of = nodes.join(components(links).withColumnRenamed("node", "id"), "id")
+    return of.join(of.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("all")), "comp")
+
+
+def _in_blocks(buckets: DataFrame, base: DataFrame, once: bool, shingle: int, percent: int, bins: int) -> DataFrame | None:
+    """buckets (a, id, th, n, bits, star): members of buckets, of which each has a least member a, with their component so far.
+    Links (a, b) that connect what is linked."""
+    nodes = settle(buckets.groupBy("id", "th").agg(*[F.first(c).alias(c) for c in ("n", "bits", "star")]), "nodes")
+    cells = _cells(_clustered(nodes, buckets.filter("a <> id").select("a", F.col("id").alias("b"))), F.ceil(F.col("m") / BLOCK_SKETCHES))
+    dealt = cells.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    near = settle(dealt.select("comp", "i", "j", "id", "n", "star", "bits").mapInArrow(_near(percent, bins), "a long, b long"), "near")
+    if near.filter("a <> b").isEmpty():
+        drop_settled(nodes, near)
+        return None
+    left = settle(_clustered(nodes.drop("bits", "star"), near), "left")
+    cells = _cells(left, F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("all") / BLOCK_SHINGLES)))
+    sent = cells.join(_texts(base, settle(left.select("id", "th"), "left-ids"), once), ["id", "th"]).select("comp", "i", "j", "id", "text")
+    out = settle(sent.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_compare(shingle, percent), "a long, b long"), "block-links")
+    drop_settled(nodes, near, left)
+    return out
+
+
+def _texts(base: DataFrame, ids: DataFrame, once: bool) -> DataFrame:
+    """(id, th, text) of ids (id, th; a settled table). once: no rows are alike in both."""
+    found = semi(base, ids, "id", "th")
+    return found if once else found.dropDuplicates(["id", "th"])
 
 
 def _alike(x: str, y: str, percent: int, bins: int) -> Column:
     """Whether two members can reach the similarity: by size, and by sketches that are wrong once in a few million."""
-    p = percent / 100
-    sigma = math.sqrt(bins * p * (1 - p) + 2 * bins * (1 - p) / 4)
-    most = math.ceil(bins * (1 - p) + 5 * sigma)
+    most = _most_apart(percent, bins)
     apart = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(SKETCH)), F.lit(0))
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((F.least(n, m) < SMALL) | (apart <= most))
@@ -272,58 +331,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents are linked if 100 * |A and B| >= percent * |A or B| for their shingle sets. component_id is the
     least id that links reach, kept is id_col = component_id. A null or empty text has no shingles and is linked with nothing. A
-    null id is linked with nothing: component_id is null and kept is true. Rows that repeat an id with the same text are
-    each returned, with equal values. Other columns of docs are not looked at. No rows give no rows.
+    null id is linked with nothing: component_id is null and kept is true. Rows that repeat an id are one document: what one of them
+    is linked with, all are, but each is returned with the size of its own set, and an empty one with its id. A text is compared as often
+    as it is long, not as often as it occurs. Other columns of docs are not looked at. No rows give no rows.
     """
     if bands * rows * 2 < SKETCH * 64:
         raise ValueError("the sketch takes two bits a bin")
     text_batches(docs.sparkSession)
     bins = bands * rows
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sk = settle(base.mapInArrow(_sketches(shingle, bands, rows), "id long, n long, lo long, hi long, keys array<long>, bits array<long>"), "sketch")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.col(text_col).cast("string").alias("text"))
+    sk = settle(base.mapInArrow(_sketches(shingle, bands, rows), "id long, th long, n long, lo long, hi long, keys array<long>, bits array<long>"), "sketch")
     some = sk.filter("n > 0 and id is not null")
-    classes = settle(some.groupBy("lo", "hi").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "classes")
-    cells = classes.select(F.explode("keys").alias("key"), "rep", "n", "bits")
+    set_ = F.struct("lo", "hi")
+    again = settle(some.groupBy("id").agg(F.count("*").alias("c"), F.min(set_).alias("x"), F.max(set_).alias("y")).filter("c > 1"), "repeated-ids")
+    once = again.isEmpty()
+    classes = settle(some.groupBy("lo", "hi").agg(F.min(F.struct("id", "th")).alias("rep"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")).select("lo", "hi", "rep.*", "n", "keys", "bits"), "classes")
+    cells = classes.select(F.explode("keys").alias("key"), "id", "th", "n", "bits")
     shared = classes.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1").select("key")
     members = settle(cells.join(shared, "key"), "members")
-    texts = base.filter("id is not null")
-    hubs = members.groupBy("key").agg(F.min(F.struct("rep", "n", "bits")).alias("h")).select("key", "h.*")
-    pairs = members.alias("m").join(hubs.alias("h"), F.expr("m.key = h.key and m.rep <> h.rep") & _alike("m", "h", percent, bins))
-    pairs = settle(pairs.select(F.col("h.rep").alias("a"), F.col("m.rep").alias("b")).distinct(), "pairs")
-    comps = None
+    hubs = members.groupBy("key").agg(F.min(F.struct("id", "th", "n", "bits")).alias("h")).select("key", "h.*")
+    pairs = members.alias("m").join(hubs.alias("h"), F.expr("m.key = h.key and m.id <> h.id") & _alike("m", "h", percent, bins))
+    pairs = settle(pairs.select(F.col("h.id").alias("a"), F.col("h.th").alias("ath"), F.col("m.id").alias("b"), F.col("m.th").alias("bth")).distinct(), "pairs")
+    # an id with several sets joins their classes
+    same = some.join(again.filter("x <> y").select("id"), "id", "left_semi").join(classes.select("lo", "hi", F.col("id").alias("a")), ["lo", "hi"]).select("a", F.col("id").alias("b")).filter("a <> b")
+    same = None if once else settle(same.distinct(), "same-ids")
+    comps = None if same is None or same.isEmpty() else components(same)
     if not members.isEmpty():
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        need = settle(_only(texts, ends), "ends")  # apart from the join below, so that a hub with very many pairs is split there
-        sets = pairs.join(need.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(need.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        found = settle(sets.select("a", "b", "x", "y").mapInArrow(_confirm(shingle, percent), "a long, b long"), "confirmed")
+        ends = settle(pairs.select(F.col("a").alias("id"), F.col("ath").alias("th")).union(pairs.select("b", "bth")).distinct(), "end-ids")
+        need = settle(_texts(base, ends, once), "ends")  # apart from the join below, so that a hub with very many pairs is split there
+        sets = pairs.join(need.select(F.col("id").alias("a"), F.col("th").alias("ath"), F.col("text").alias("x")), ["a", "ath"]).join(need.select(F.col("id").alias("b"), F.col("th").alias("bth"), F.col("text").alias("y")), ["b", "bth"])
+        found = sets.select("a", "ath", "b", "x", "y").mapInArrow(_confirm(shingle, percent), "a long, b long")
+        found = settle(found if same is None else found.union(same), "confirmed")
         comps = components(found)
-        rest = members.join(hubs.select("key", "rep"), ["key", "rep"], "left_anti").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        rest = settle(rest.select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "rest")
-        unsure = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("rep").alias("a")).filter("x <> y").select("key", "a")
-        all_, rest = rest, settle(rest.join(unsure, "key").select("a", F.col("rep").alias("b"), "n"), "unsure")
+        rest = members.join(hubs.select("key", "id", "th"), ["key", "id", "th"], "left_anti").join(comps.withColumnRenamed("node", "id"), "id", "left")
+        rest = settle(rest.select("key", "id", "th", "n", "bits", F.coalesce("comp", "id").alias("star")), "rest")
+        unsure = rest.groupBy("key").agg(F.min("star").alias("x"), F.max("star").alias("y"), F.min("id").alias("a")).filter("x <> y").select("key", "a")
+        all_, rest = rest, settle(rest.join(unsure, "key").select("a", "id", "th", "n", "bits", "star"), "unsure")
         drop_settled(all_)
-        if not rest.isEmpty():
-            more = settle(_in_blocks(rest, texts, shingle, percent), "block-links")
+        more = None if rest.isEmpty() else _in_blocks(rest, base, once, shingle, percent, bins)
+        if more is not None:
             drop_settled(comps)
             comps = components(found.union(more))
             drop_settled(more)
-        drop_settled(need, found, rest)
+        drop_settled(ends, need, found, rest)
     drop_settled(members, pairs)
-    of = classes.select("lo", "hi", "rep")
+    of = classes.select("lo", "hi", "id")
     if comps is not None:
-        of = of.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("lo", "hi", F.coalesce("comp", "rep").alias("comp"))
+        of = of.join(comps.withColumnRenamed("node", "id"), "id", "left").select("lo", "hi", F.coalesce("comp", "id").alias("comp"))
     else:
-        of = of.withColumnRenamed("rep", "comp")
-    out = sk.select("id", "n", "lo", "hi").join(of, ["lo", "hi"], "left")
-    comp = F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.col("comp"))
+        of = of.withColumnRenamed("id", "comp")
+    cols = ["id", "n", "lo", "hi"]
+    out = sk.filter("n > 0").select(cols).join(of, ["lo", "hi"], "left").select("id", "n", "comp")
+    out = out.union(sk.filter("n = 0").select("id", "n", F.col("id").alias("comp")))  # these share one hash: they stay out of the join
+    comp = F.when(F.col("id").isNotNull(), F.col("comp"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the documents that near_duplicates() doesn't keep; rows that repeat an id stay or go together."""
-    gone, other = fresh(docs, "gone", "other")
-    drop = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias(other)).distinct()
-    return docs.join(drop, docs["doc_id"] == drop[other], "left_anti")
+    (other,) = fresh(docs, "other")
+    drop = near_duplicates(docs, id_col=id_col, **options).filter("not kept").select(F.col(id_col).alias(other)).distinct()
+    return docs.join(drop, docs[id_col] == drop[other], "left_anti")
 
 
 #: near_duplicates() with shingles of four words, in DuckDB, by joining all shingles.

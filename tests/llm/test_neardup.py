@@ -64,6 +64,7 @@ def test_against_brute_force(docs):
 def test_hub_unlike_the_rest_loses_nothing(docs, monkeypatch):
     """Everything in few buckets and small blocks: links between members that aren't like the hub are found in blocks."""
     monkeypatch.setattr(neardup, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(neardup, "BLOCK_SKETCHES", 5)
     rows = corpus(5)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(rows), shingle=4, rows=1, bands=160).collect()}
     assert got == {i: c for i, (_, c) in slow(rows, 4).items()}
@@ -88,6 +89,57 @@ def test_blocks_link_what_is_linked():
             assert find(i) == find(j)
 
 
+def test_forest_connects():
+    r = np.random.default_rng(3)
+    for n, p in ((1, 0.5), (40, 0.02), (40, 0.1), (200, 0.01), (60, 0.0)):
+        near = np.triu(r.random((n, n)) < p, 1)
+        near |= near.T
+        edges = neardup.forest(near)
+        assert len(edges) < n and all(near[a, b] for a, b in edges)
+        reach = lambda m: np.linalg.matrix_power(m.astype(float) + np.eye(n), n) > 0
+        own = np.zeros((n, n), bool)
+        for a, b in edges:
+            own[a, b] = own[b, a] = True
+        assert (reach(own) == reach(near)).all()
+
+
+def test_repeated_ids_and_texts(docs):
+    """Rows of one id are one document, whatever their texts; copies of rows cost and change nothing."""
+    r = random.Random(8)
+    text = lambda: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(80))
+    a, b, c = text(), text(), text()
+    near = lambda t: t.replace(" ", " x ", 1)
+    rows = [(1, a), (1, c), (2, near(a)), (3, near(c)), (4, b), (5, b), (5, c), (6, ""), (6, near(b)), (None, a)]
+    got = {(x["doc_id"], x["n_shingles"]): x for x in neardup.near_duplicates(docs(rows * 30)).collect()}
+    assert all(x["component_id"] == 1 for (i, n), x in got.items() if i is not None and n)
+    assert got[6, 0]["component_id"] == 6 and got[None, 76]["component_id"] is None
+    assert neardup.near_duplicates(docs(rows * 30)).count() == 300
+    assert sorted({x["doc_id"] for x in neardup.keep_one(docs(rows)).collect()}, key=str) == [1, None]
+
+
+def test_long_texts_and_another_id(spark):
+    r = random.Random(2)
+    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(120_000)]
+    long = [" ".join(words), " ".join(words[:60_000] + ["edit"] + words[60_000:]), " ".join(words[40_000:])]
+    df = spark.createDataFrame([(10 + i, t, "d", "k") for i, t in enumerate(long)], "x bigint, text string, doc_id string, kept string")
+    assert sorted(y["x"] for y in neardup.keep_one(df, id_col="x").collect()) == [10, 12]
+
+
+def test_many_members_of_one_bucket(docs):
+    """Groups of near-duplicates and of unlike documents that all share a passage, in buckets of one bin: nothing is lost, nothing joined."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for i in range(120):
+        own = [word() for _ in range(40 if i % 2 else 30)]
+        rows += [" ".join(passage + own + ([word()] if k else [])) for k in range(1 + i % 3)]
+    ids = r.sample(range(10_000), len(rows))
+    rows = list(zip(ids, rows, strict=True))
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(docs(rows), shingle=5, rows=1, bands=160).collect()}
+    assert got == {i: c for i, (_, c) in slow(rows, 5).items()}
+
+
 def test_densified_bins_estimate_similarity():
     r = np.random.default_rng(2)
     with np.errstate(over="ignore"):
