@@ -14,10 +14,17 @@ from pyspark.sql import functions as F
 SPACE = "\\x20\\x09-\\x0D"
 
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all run on this machine, one of our own; on a
+    cluster that is an error, as others can't see this machine's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="spanloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
