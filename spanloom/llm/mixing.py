@@ -60,6 +60,21 @@ def exponent(sources: DataFrame, entropy: float | None = None, repeats: float |
     return found
 
 
+def scale(sources: DataFrame, budget: float, repeats: float) -> float | None:
+    """sources (tokens, raw > 0): the least x, to a part in 64**ROUNDS of the bracket, for which sources of x * raw tokens, each repeated `repeats` times at most, make up the
+    budget; so what a source at its limit can't take goes to the others by their weights. None if even all at the limit don't."""
+    ends = sources.agg(F.sum("tokens").alias("t"), F.sum("raw").alias("z"), F.max(F.col("tokens") * repeats / F.col("raw")).alias("m")).first()
+    if not ends["t"] or budget >= ends["t"] * repeats:
+        return None
+    lo, hi = budget / ends["z"], max(ends["m"], budget / ends["z"])
+    for _ in range(ROUNDS):
+        points = [lo + (hi - lo) * i / POINTS for i in range(POINTS + 1)]
+        each = sources.select("tokens", "raw", F.explode(F.lit(points)).alias("x")).groupBy("x").agg(F.sum(F.least(F.col("x") * F.col("raw"), F.col("tokens") * repeats)).alias("made")).collect()  # POINTS + 1 rows
+        enough = sorted(r["x"] for r in each if r["made"] >= budget * (1 - 1e-12)) or [hi]
+        lo, hi = max([p for p in points if p < enough[0]], default=enough[0]), enough[0]
+    return hi
+
+
 def _key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
 
@@ -71,10 +86,13 @@ def _unit(number: Column) -> Column:
 
 def weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float | None = 0.98, repeats: float | None = 4.0, budget: int | None = None, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, DataFrame]:
     """(sources, units). sources: key, docs, tokens, share, weight, epochs, blocks. units: key, k, id, source, tokens, one for
-    all rows alike in id, source and text. With no budget the least repeated source gets one epoch, so nothing is left out."""
+    all rows alike in id, source and text. With no budget the least repeated source gets one epoch, so nothing is left out. A budget
+    is made up by the weights; a source that this would repeat more than `repeats` times stays at that, and the others take its part. A budget
+    beyond `repeats` times everything is that much."""
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     k = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null")), _key(F.col("source")), "text")
-    units = base.select(k.alias("k"), "id", "source", words_count(F.col("text")).cast("long").alias("tokens")).groupBy("k").agg(F.min("id").alias("id"), F.min("source").alias("source"), F.sum("tokens").alias("tokens"))
+    # the hash tells texts of one id and source apart
+    units = base.select(k.alias("k"), "id", "source", words_count(F.col("text")).cast("long").alias("tokens")).groupBy("k", "id", "source").agg(F.sum("tokens").alias("tokens"))
     units = settle(units.withColumn("key", _key(F.col("source"))), "units")
     sources = settle(units.groupBy("key").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")), "sources")
     e = exponent(sources.filter("tokens > 0"), entropy, repeats)
@@ -83,10 +101,12 @@ def weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     raw = sources.withColumn("share", share).withColumn("raw", F.when(F.col("tokens") > 0, F.pow("share", F.lit(e))).otherwise(0.0))
     sums = raw.agg(F.sum("raw").alias("z"), F.max(F.when(F.col("tokens") > 0, F.col("tokens") / F.col("raw"))).alias("m")).first()
     z = sums["z"] or 1.0
-    budget_ = float(budget) if budget is not None else (sums["m"] or 0.0) * z
-    epochs = F.when(F.col("tokens") > 0, F.col("weight") * budget_ / F.col("tokens")).otherwise(1.0)
-    if repeats is not None and budget is not None:
-        epochs = F.least(epochs, F.lit(float(repeats)))
+    if budget is None:
+        x = sums["m"] or 0.0
+    else:
+        x = float(budget) / z if repeats is None else scale(raw.filter("tokens > 0"), float(budget), float(repeats))
+    own = F.col("raw") * (x or 0.0) / F.col("tokens") if x is not None else F.lit(float(repeats))
+    epochs = F.when(F.col("tokens") > 0, own if repeats is None or budget is None else F.least(own, F.lit(float(repeats)))).otherwise(1.0)
     epochs = F.when(F.abs(epochs - F.round(epochs)) < 1e-9, F.round(epochs)).otherwise(epochs)
     out = raw.withColumn("weight", F.col("raw") / z).withColumn("epochs", epochs).withColumn("blocks", F.ceil(F.col("docs") / block_docs).cast("long")).drop("raw")
     return settle(out, "weights"), units
@@ -107,7 +127,7 @@ def _schedule(sources: DataFrame, units: DataFrame, seed: int) -> DataFrame:
     u = u.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "k", F.lit("block")), "blocks"))
     u = u.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("epochs").cast("int"), F.lit(1)) - 1)))
     part = F.least(F.lit(1.0), F.col("epochs") - F.col("epoch"))
-    order = Window.partitionBy("key", "epoch", "block").orderBy(F.xxhash64(F.lit(seed), "epoch", "k"), "k")
+    order = Window.partitionBy("key", "epoch", "block").orderBy(F.xxhash64(F.lit(seed), "epoch", "k"), "k", "id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("key", "epoch", "block")
     u = u.withColumn("position", F.row_number().over(order) - 1).withColumn("upto", F.sum("tokens").over(upto)).withColumn("all", F.sum("tokens").over(whole))
@@ -119,8 +139,9 @@ def _schedule(sources: DataFrame, units: DataFrame, seed: int) -> DataFrame:
 
 def mixed(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     """docs, all columns, each row as often as the schedule takes it."""
-    key, times, turn = fresh(docs, "row_key", "times", "turn")
+    key, k, id_, times, turn = fresh(docs, "row_key", "plan_key", "plan_id", "times", "turn")
     id_col, text_col, source_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")
-    plan = _schedule(*weights(docs, **options), seed).groupBy(F.col("k").alias(key)).agg(F.count("*").cast("int").alias(times))
+    plan = _schedule(*weights(docs, **options), seed).groupBy(F.col("k").alias(k), F.col("id").alias(id_)).agg(F.count("*").cast("int").alias(times))
     own = F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("null")), _key(docs[source_col]), F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    return docs.withColumn(key, own).join(plan, key).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
+    with_ = docs.withColumn(key, own).join(plan, F.col(key).eqNullSafe(F.col(k)) & docs[id_col].eqNullSafe(F.col(id_)))
+    return with_.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
