@@ -1,7 +1,7 @@
 """WARC archives with dictionary-compressed records.
 
-Each archive file starts with a skippable Zstandard frame that holds a dictionary built from the first records of that
-file; every record follows as a frame of its own, so it can be read by its offset and length alone. A payload of
+Each archive file starts with a skippable Zstandard frame that holds a dictionary built from records drawn from all pages;
+every record follows as a frame of its own, so it can be read by its offset and length alone. A payload of
 at least `least` bytes that occurs more than once is stored once: as a response under the largest page id, and as a revisit
 record, without payload, under the others.
 """
@@ -26,8 +26,8 @@ from .shared import new_dir, partitions, settle, text_batches
 SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST = 1000
-#: A file's dictionary is built from its first records, up to so many bytes.
-SAMPLE_BYTES, DICT_BYTES = 1 << 20, 16 << 10
+#: The dictionary is built from about so many records, drawn by hash from those of payloads of at most so many bytes. It has so many bytes.
+SAMPLE_RECORDS, SAMPLE_BYTES, DICT_BYTES = 500, 64 << 10, 16 << 10
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -66,63 +66,50 @@ def dictionary(records: list[bytes], size: int = DICT_BYTES) -> bytes:
     try:
         return z.train_dictionary(size, records, k=200, d=8).as_bytes()
     except z.ZstdError:
-        return b"".join(records)[-size:]
+        return b"".join(records)[-size:] or b"WARC/1.1\r\n"
 
 
 class _Archive:
-    def __init__(self, folder: str, level: int) -> None:
-        self.fs, self.folder = pafs.FileSystem.from_uri(folder)
-        self.level, self.waiting, self.size, self.out = level, [], 0, None
-
-    def start(self) -> list[tuple]:
+    def __init__(self, folder: str, level: int, words: bytes) -> None:
         import zstandard as z
 
-        words = dictionary([r for _, r in self.waiting])
-        self.pack = z.ZstdCompressor(level=self.level, dict_data=z.ZstdCompressionDict(words), write_checksum=True)
-        self.name = f"{uuid.uuid4().hex}.warc.zst"
-        self.fs.create_dir(self.folder, recursive=True)
-        self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}", compression=None)
-        self.out.write(struct.pack("<II", SKIPPABLE, len(words)) + words)
-        self.at = 8 + len(words)
-        rows = [self.put(i, r) for i, r in self.waiting]
-        self.waiting = []
-        return rows
-
-    def put(self, i: int | None, data: bytes) -> tuple:
+        self.fs, self.folder = pafs.FileSystem.from_uri(folder)
+        self.words, self.out = words, None
+        self.pack = z.ZstdCompressor(level=level, dict_data=z.ZstdCompressionDict(words), write_checksum=True)
+
+    def add(self, i: int | None, data: bytes) -> tuple:
+        """Where the record is written."""
+        if self.out is None:
+            self.name = f"{uuid.uuid4().hex}.warc.zst"
+            self.fs.create_dir(self.folder, recursive=True)
+            self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}", compression=None)
+            self.out.write(struct.pack("<II", SKIPPABLE, len(self.words)) + self.words)
+            self.at = 8 + len(self.words)
         frame = self.pack.compress(data)
         self.out.write(frame)
         at, self.at = self.at, self.at + len(frame)
         return i, self.name, at, len(frame)
 
-    def add(self, i: int | None, data: bytes) -> list[tuple]:
-        """The rows that are now written."""
-        if self.out is not None:
-            return [self.put(i, data)]
-        self.waiting.append((i, data))
-        self.size += len(data)
-        return self.start() if self.size >= SAMPLE_BYTES else []
-
-    def finish(self) -> list[tuple]:
-        return self.start() if self.waiting else []
-
 
 def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
-def _write(folder: str, level: int):
+def _records(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+    """(page_id, record) of rows (page_id, url, html, refers_to)."""
+    for i, url, html, refers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        yield i, record(i, url, html if refers is None else None, hashlib.sha1(html).digest(), refers)
+
+
+def _write(folder: str, level: int, words):
     names, types = ["page_id", "file", "offset", "length"], [pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive = _Archive(folder, level)
+        archive = _Archive(folder, level, words.value)
         try:
             for b in batches:
-                rows = []
-                for i, url, html, refers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    rows += archive.add(i, record(i, url, html if refers is None else None, hashlib.sha1(html).digest(), refers))
-                yield _rows(rows, names, types)
-            yield _rows(archive.finish(), names, types)
+                yield _rows([archive.add(i, r) for i, r in _records(b)], names, types)
         finally:
             if archive.out is not None:
                 archive.out.close()
@@ -130,6 +117,20 @@ def _write(folder: str, level: int):
     return run
 
 
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([pa.array([dictionary([r for b in batches for _, r in _records(b)])], pa.binary())], names=["words"])
+
+
+def dictionary_of(pages: DataFrame, records: int = SAMPLE_RECORDS, most: int = SAMPLE_BYTES) -> bytes:
+    """A dictionary for pages (page_id, url, html): from about `records` of them, drawn by hash; trained in one task, which holds no more than these."""
+    n = F.octet_length("html")
+    drawn = pages.select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")).filter(n <= most).withColumn("draw", F.xxhash64("page_id", "url", n))
+    every = max(1, -(-drawn.count() // records))
+    some = drawn.filter(F.pmod("draw", F.lit(every)) == 0).dropDuplicates(["draw"])
+    made = some.drop("draw").repartition(1).sortWithinPartitions("page_id", "url", "html").mapInArrow(_train, "words binary").first()
+    return made["words"] if made else dictionary([])
+
+
 def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(page_id, digest, refers_to) of the pages whose payload is stored under a larger id."""
     keys = pages.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("n")).filter((F.col("n") >= least) & F.col("page_id").isNotNull())
@@ -144,7 +145,8 @@ def write(pages: DataFrame, folder: str | None = None, least: int = LEAST, level
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     again = settle(revisits(base, least), "revisits").withColumnRenamed("page_id", "id")
     marked = base.join(again, (F.col("page_id") == F.col("id")) & (F.sha1("html") == F.col("digest")), "left").select("page_id", "url", "html", "refers_to")
-    return settle(marked.mapInArrow(_write(folder, level), "page_id long, file string, offset long, length long"), "warc-index"), folder
+    words = pages.sparkSession.sparkContext.broadcast(dictionary_of(base))
+    return settle(marked.mapInArrow(_write(folder, level, words), "page_id long, file string, offset long, length long"), "warc-index"), folder
 
 
 def _read(folder: str):

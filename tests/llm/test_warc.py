@@ -44,5 +44,18 @@ def test_ties_and_empty(spark):
     df = spark.createDataFrame([(1, "u", BIG), (2, "u", BIG), (2, "u", BIG)], "page_id bigint, url string, html string")
     assert sorted((r["page_id"], r["record_type"]) for r in warc.archive(df).collect()) == [(1, "revisit"), (2, "response"), (2, "response")]
     assert warc.archive(df.limit(0)).count() == 0
+    small = warc.dictionary_of(spark.createDataFrame([(i, "u", f"<html>{i} common header and footer</html>" * 20) for i in range(3000)], "page_id bigint, url string, html string"))
+    assert b"common header" in small and len(small) <= warc.DICT_BYTES
     many = [b"<html>%d common header and footer %d</html>" % (i, i) for i in range(3000)]
     assert len(warc.dictionary(many)) <= warc.DICT_BYTES and warc.dictionary([b"x"]) == b"x"
+
+
+def test_long_payloads_and_clashing_names(spark):
+    """A payload of 30 MB, twice; columns with names that the operator uses itself."""
+    html = "".join(f"<p>{i} some text" for i in range(1_800_000))
+    rows = [(1, "u", html), (2, "u", html), (3, "v", html + "x"), (3, "v", "short")]
+    names = ("refers_to", "file", "offset", "length", "id", "n", "draw", "words", "record_type")
+    df = spark.createDataFrame([(*r, *names) for r in rows], "page_id bigint, url string, html string, " + ", ".join(f"{n} string" for n in names))
+    got = sorted(tuple(r) for r in warc.archive(df).collect())
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    assert got == sorted([(1, len(html), sha(html), "revisit", 2), (2, len(html), sha(html), "response", None), (3, len(html) + 1, sha(html + "x"), "response", None), (3, 5, sha("short"), "response", None)], key=lambda r: r[:3])
