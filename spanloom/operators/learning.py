@@ -179,9 +179,7 @@ class SenderState:
         self.new_templates: set[str] = set()
 
     def look(self, text: str) -> tuple[dict, list[engine.Span]] | str:
-        cands = engine.extract(text, self.entities)
-        got = engine.match(text, cands, [self.templates[k] for k in sorted(self.templates)])
-        return "EXTRACTION_CANDIDATES_DISCARDED" if isinstance(got, str) and not cands and self.entities else got
+        return engine.match(text, engine.extract(text, self.entities), [self.templates[k] for k in sorted(self.templates)], bool(self.entities))
 
     def process(self, text: str, teacher: Teacher) -> dict:
         """The record of one message: a hit, or what the teacher says, or a failure (nothing learned, path null)."""

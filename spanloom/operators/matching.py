@@ -1,6 +1,7 @@
 """Template matching: two hash lookups as equi-joins on candidates, anchor checks as expressions, one reduction by message.
 
-Templates are few against messages; they are broadcast only if their number is checked to be small, else joined by shuffle.
+Templates are few against messages; they are broadcast only if the optimizer's bound of their bytes is small, else joined by shuffle, which adaptive
+execution turns into a broadcast where a side comes out small.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from spanloom.functions import text as T
 from spanloom.operators import engine
 from spanloom.schemas import PRIORITY, SPAN
 
-#: Rows of a rule or template table that are broadcast.
-BROADCAST_ROWS = 50_000
+#: Bytes of a rule or template table that are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if the optimizer estimates so many bytes at most; no job runs for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most else df
 
 
 def static_index(templates: DataFrame) -> DataFrame:
@@ -147,9 +149,9 @@ def reduce_outcomes(rows: DataFrame, keep: list[str]) -> DataFrame:
     return out.select("msg_id", *[F.col("m")[k].alias(k) for k in keep], "win_ord", F.col("w.win").alias("win"), F.col("w.won").alias("won"), F.when(F.col("win_ord").isNull(), F.col("reason")).alias("reason"), "no_candidates")
 
 
-def discarded(reason: Column, no_candidates: Column, entities: Column) -> Column:
-    """The reason, or that candidates were discarded where a sender with rules has none."""
-    return F.when(reason.isNotNull() & no_candidates & (F.coalesce(F.size(entities), F.lit(0)) > 0), "EXTRACTION_CANDIDATES_DISCARDED").otherwise(reason)
+def discarded(reason: Column, no_candidates: Column, n_rules: Column) -> Column:
+    """The reason, or that candidates were discarded where a message has none and its sender has rules."""
+    return F.when(reason.isNotNull() & no_candidates & (n_rules > 0), "EXTRACTION_CANDIDATES_DISCARDED").otherwise(reason)
 
 
 def typed_values(text: Column, values: Column, snapshots: Column) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -85,24 +86,28 @@ def _rules(text: str) -> tuple[list[dict], bool]:
 _CANDIDATES = pa.list_(pa.struct([("ord", pa.int32()), ("values", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string()), ("st", pa.int32()), ("en", pa.int32())]))), ("names", pa.list_(pa.string()))]))
 
 
-def as_candidates(found: list[list[engine.Span]]) -> list[dict]:
+#: Candidates of one message that are kept in its row. With more, the row says so, and learning.learn() tries them one by one.
+KEPT = 10_000
+
+
+def as_candidates(found: Iterable[list[engine.Span]]) -> list[dict]:
     return [{"ord": i, "values": [s._asdict() for s in c], "names": [s.name for s in c]} for i, c in enumerate(found)]
 
 
-def _found(t: str | None, r: str | None, spans: list[dict] | None) -> list[dict]:
+def _found(t: str | None, r: str | None, spans: list[dict] | None) -> Iterator[list[engine.Span]]:
     if not t or not r:
-        return []
+        return iter(())
     parsed, own = _rules(r)
     by: dict[str, list[engine.Span]] | None = None
     if not own and spans is not None:
         by = {}
         for s in spans or ():
             by.setdefault(s["name"], []).append(engine.Span(s["name"], s["value"], s["st"], s["en"]))
-    return as_candidates(engine.extract(t, parsed, by, distinct=True))
+    return engine.extract(t, parsed, by, distinct=True)
 
 
 def with_candidates(rows: DataFrame, text: str = "text", rules_json: str = "rules_json", spans: str = "spans") -> DataFrame:
-    """rows with cands, all candidates of each message, in place of the rules and the spans.
+    """rows with cands, the candidates of each message, in place of the rules and the spans; more: whether there are others beyond KEPT.
 
     Spans of REGEX rules come from the JVM (regex_spans_of); boundary rules and combinations are made in Arrow batches, with each sender's
     rules parsed once a worker.
@@ -113,20 +118,22 @@ def with_candidates(rows: DataFrame, text: str = "text", rules_json: str = "rule
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cands = [_found(t, r, s) for t, r, s in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), b.column(k).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in at), pa.array(cands, _CANDIDATES)], names=[*(b.schema.names[x] for x in at), "cands"])
+            found = [_found(t, r, s) for t, r, s in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), b.column(k).to_pylist(), strict=True)]
+            cands = [as_candidates(itertools.islice(f, KEPT)) for f in found]
+            more = [next(f, None) is not None for f in found]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in at), pa.array(cands, _CANDIDATES), pa.array(more, pa.bool_())], names=[*(b.schema.names[x] for x in at), "cands", "more"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return rows.mapInArrow(run, f"{ddl}, cands array<{CANDIDATE}>")
+    return rows.mapInArrow(run, f"{ddl}, cands array<{CANDIDATE}>, more boolean")
 
 
 class Extract:
     """The handler of a table function: a row a span of each candidate of one text under rules given as JSON."""
 
     def eval(self, text: str, rules_json: str):
-        for c in _found(text, rules_json if rules_json else None, None) if text else ():
-            for v in c["values"]:
-                yield c["ord"], v["name"], v["value"], v["st"], v["en"]
+        for i, c in enumerate(_found(text, rules_json, None)):
+            for v in c:
+                yield i, *v
 
 
 def register_extract(spark: SparkSession, name: str = "extract_spans") -> None:

@@ -432,7 +432,7 @@ def match_static(spark, sf_dir):
 def match_zero_entity(spark, sf_dir):
     e = I.table(spark, sf_dir, "events")
     k = F.col("event_id") % 3
-    m = e.select(F.col("event_id").cast("string").alias("msg_id"), F.col("event_id").alias("seq"), F.when(k == 0, "A").when(k == 1, "B").otherwise("C").alias("sender_id"), F.lit("DEAR CUSTOMER WELCOME").alias("normalized"), F.lit("").alias("raw_text"), F.lit(0).alias("n_rules"), F.lit(None).cast(f"array<{schemas.CANDIDATE}>").alias("cands"), F.col("event_type").alias("text"))
+    m = e.select(F.col("event_id").cast("string").alias("msg_id"), F.col("event_id").alias("seq"), F.when(k == 0, "A").when(k == 1, "B").otherwise("C").alias("sender_id"), F.lit("DEAR CUSTOMER WELCOME").alias("normalized"), F.lit("").alias("raw_text"), F.lit(0).alias("n_rules"), F.lit(None).cast(f"array<{schemas.CANDIDATE}>").alias("cands"), F.lit(False).alias("more"), F.col("event_type").alias("text"))
     h = T.sha256(F.lit("DEARCUSTOMERWELCOME"))
     t = spark.range(2).select(F.when(F.col("id") == 0, "A").otherwise("B").alias("sender_id"), (F.col("id") == 0).alias("on"))
     templates = t.select(*I.template(F.col("sender_id"), "greeting", "INFO", h, (), (), active=F.col("on")))

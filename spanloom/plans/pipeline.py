@@ -26,16 +26,16 @@ def with_candidates(messages: DataFrame, compiled: DataFrame) -> DataFrame:
 
 
 def matched(cands: DataFrame, templates: DataFrame) -> DataFrame:
-    """A row a message: seq, sender_id, raw, normalized, win, won, reason."""
-    keep = ["seq", "sender_id", "raw", "normalized", "n_rules"]
+    """A row a message: seq, sender_id, raw, normalized, win, won, reason, more (none won, and there are candidates that weren't tried)."""
+    keep = ["seq", "sender_id", "raw", "normalized", "n_rules", "more"]
     rows = matching.explode_candidates(matching.first_hits(cands.withColumnRenamed("raw_text", "raw"), templates))
     got = matching.reduce_outcomes(matching.outcomes(rows, templates), keep)
-    lost = F.when(F.col("reason").isNotNull() & F.col("no_candidates") & (F.col("n_rules") > 0), "EXTRACTION_CANDIDATES_DISCARDED").otherwise(F.col("reason"))
-    return got.withColumn("reason", lost)
+    return got.withColumn("reason", matching.discarded(F.col("reason"), F.col("no_candidates"), F.col("n_rules")))
 
 
 def process(spark: SparkSession, messages: DataFrame, normalization: DataFrame, entities: DataFrame, templates: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(hits, misses, skipped). hits: results with the template's fields and values by semantic type; misses go to learning.learn();
+    """(hits, misses, skipped). hits: results with the template's fields and values by semantic type; misses go to learning.learn(), which also tries all
+    candidates of those with more than a row keeps (more);
     skipped: messages of the language gate, with nothing else filled in. keep: what to do with the matched messages, of which hits and misses are two
     views, such as persist() where both are wanted."""
     ready, skipped = prepared(messages, rules.mappings_of(normalization))
@@ -45,5 +45,5 @@ def process(spark: SparkSession, messages: DataFrame, normalization: DataFrame,
         "msg_id", "seq", "sender_id", "raw", "normalized", *[F.col(f"win.{k}").alias(k) for k in ("template_id", "category", "subcategory", "intent", "confidence")],
         matching.typed_values(F.col("normalized"), F.col("won"), F.col("win.snapshots")).alias("entities"), F.lit(HIT).alias("path"),
     )
-    misses = got.filter("win is null").select("msg_id", "seq", "sender_id", "raw", "normalized", "reason")
+    misses = got.filter("win is null").select("msg_id", "seq", "sender_id", "raw", "normalized", "reason", "more")
     return hits, misses, skipped.withColumnRenamed("text", "raw")
