@@ -346,9 +346,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = settle(some.groupBy("id").agg(F.count("*").alias("c"), F.min(set_).alias("x"), F.max(set_).alias("y")).filter("c > 1"), "repeated-ids")
     once = again.isEmpty()
     classes = settle(some.groupBy("lo", "hi").agg(F.min(F.struct("id", "th")).alias("rep"), F.min("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")).select("lo", "hi", "rep.*", "n", "keys", "bits"), "classes")
-    cells = classes.select(F.explode("keys").alias("key"), "id", "th", "n", "bits")
+    # a class has a row for each band: only ids are dealt out by key, and the sketch is brought to those that share one
+    cells = classes.select(F.explode("keys").alias("key"), "id", "th")
     shared = classes.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1").select("key")
-    members = settle(cells.join(shared, "key"), "members")
+    members = settle(cells.join(shared, "key").join(classes.select("id", "th", "n", "bits"), ["id", "th"]), "members")
     hubs = members.groupBy("key").agg(F.min(F.struct("id", "th", "n", "bits")).alias("h")).select("key", "h.*")
     pairs = members.alias("m").join(hubs.alias("h"), F.expr("m.key = h.key and m.id <> h.id") & _alike("m", "h", percent, bins))
     pairs = settle(pairs.select(F.col("h.id").alias("a"), F.col("h.th").alias("ath"), F.col("m.id").alias("b"), F.col("m.th").alias("bth")).distinct(), "pairs")
