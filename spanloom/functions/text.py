@@ -58,6 +58,15 @@ def normalize(text: Column, mappings: Mappings = ()) -> Column:
     return fold_space(map_between_digits(map_keywords(text, mappings), mappings))
 
 
+def normalize_by(text: Column, keywords: Column, between_digits: Column) -> Column:
+    """normalize() with the mappings in two arrays of (key, value), in order, for any number of them."""
+    text = F.upper(strip_non_ascii(F.coalesce(text, F.lit(""))))
+    text = F.aggregate(keywords, text, lambda acc, r: F.replace(acc, F.upper(r["key"]), F.upper(r["value"])))
+    pattern = lambda key: F.concat(F.lit(r"(\d)\Q"), F.replace(key, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(\d)"))
+    text = F.aggregate(between_digits, text, lambda acc, r: F.regexp_replace(acc, pattern(r["key"]), F.concat(F.lit("$1"), r["value"], F.lit("$2"))))
+    return fold_space(text)
+
+
 def quote(token: str) -> str:
     """A literal in a Java pattern."""
     return r"\Q" + token.replace(r"\E", r"\E\\E\Q") + r"\E"

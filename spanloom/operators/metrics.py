@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.schemas import ACTIVE_FROM, HIT, LEARNED, REASONS, RECORD_CAP
+from spanloom.schemas import ACTIVE_FROM, HIT, LEARNED, REASONS, RECORD_CAP, TOKENS
 
 
 def hit_rate(hits: Column, total: Column) -> Column:
@@ -15,7 +15,7 @@ def hit_rate(hits: Column, total: Column) -> Column:
 def counters(records: DataFrame) -> DataFrame:
     path = lambda p: F.count(F.when(F.col("path") == p, 1))
     low = F.count(F.when((F.col("path") == LEARNED) & (F.col("confidence") < ACTIVE_FROM), 1))
-    return records.agg(F.count("*").alias("total"), path(HIT).alias("hits"), path(LEARNED).alias("llm_calls"), (path(LEARNED) - low).alias("learned"), low.alias("skipped_low_confidence"), F.count(F.when(F.col("path").isNull(), 1)).alias("failed"))
+    return records.agg(F.count("*").alias("total"), path(HIT).alias("hits"), path(LEARNED).alias("llm_calls"), (path(LEARNED) - low).alias("learned"), low.alias("skipped_low_confidence"), F.count(F.when(F.col("path").isNull(), 1)).alias("failed"), F.count(F.when(F.col("redundant"), 1)).alias("redundant"))
 
 
 def reason_breakdown(records: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def latency_stats(records: DataFrame, column: str) -> DataFrame:
 
 
 def token_usage(responses: DataFrame) -> DataFrame:
-    return responses.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens", "cached_tokens", "reasoning_tokens")])
+    return responses.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOKENS])
 
 
 def record_log(records: DataFrame, cap: int = RECORD_CAP) -> DataFrame:
@@ -59,8 +59,10 @@ def failed_learnings(records: DataFrame, page: int = 0, size: int = 50) -> DataF
 
 
 def snapshot(records: DataFrame) -> DataFrame:
-    """Counters, hit rate and both latencies in one row."""
-    row = counters(records).withColumn("hit_rate", hit_rate(F.col("hits"), F.col("total")))
+    """Counters, hit rate, calls by reason, token sums and both latencies in one row."""
+    row = counters(records).withColumn("hit_rate", hit_rate(F.col("hits"), F.col("total"))).crossJoin(token_usage(records))
+    calls = records.filter(F.col("path") == LEARNED)
+    row = row.crossJoin(calls.agg(*[F.count(F.when(F.col("fail_reason") == r, 1)).alias(r.lower()) for r in REASONS]))  # one row each
     for column, name in (("match_ms", "match"), ("llm_ms", "llm")):
         stats = latency_stats(records, column).select(*[F.col(c).alias(f"{name}_{c}") for c in ("n", "avg", "p50", "p95", "p99")])
         row = row.crossJoin(stats)

@@ -7,20 +7,27 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import Mappings
+from spanloom.functions import text as T
 from spanloom.operators.engine import java_pattern
-from spanloom.schemas import REGEX
-
-
-def mappings_of(rules: DataFrame) -> Mappings:
-    """Normalization rules for the plan, in their order: keywords are unrolled into it, so this is for the few rules that there are."""
-    rows = rules.orderBy("rule_type", "ord").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("normalization rules are unrolled into the plan; there are too many")
-    bad = [r for r in rows if not r["key"] or not (r["key"] + (r["value"] or "")).isascii()]
-    if bad:
-        raise ValueError(f"normalization rules need a key and ASCII: {bad[0]}")
-    return [(r["rule_type"], r["key"], r["value"] or "") for r in rows]
+from spanloom.schemas import KEYWORD_MAPPING, REGEX, SPECIAL_CHAR
+
+
+#: Normalization rules up to which each is a part of the plan's expression; more are carried as arrays.
+UNROLLED = 200
+
+
+def normalized(messages: DataFrame, rules: DataFrame, text: str = "text", to: str = "normalized") -> DataFrame:
+    """messages with their normalized text. Few rules are unrolled, which keeps them in generated code; more are one row of arrays, to the same result."""
+    bad = F.coalesce(F.col("key") == "", F.lit(True)) | F.concat("key", F.coalesce("value", F.lit(""))).rlike(r"[^\x00-\x7F]")
+    if odd := rules.filter(bad).limit(1).collect():
+        raise ValueError(f"normalization rules need a key and ASCII: {odd[0]}")
+    rows = rules.orderBy("rule_type", "ord").limit(UNROLLED + 1).collect()
+    if len(rows) <= UNROLLED:
+        return messages.withColumn(to, T.normalize(F.col(text), [(r["rule_type"], r["key"], r["value"] or "") for r in rows]))
+    entry = F.struct("ord", "key", F.coalesce("value", F.lit("")).alias("value"))
+    of = lambda kind, name: F.array_sort(F.collect_list(F.when(F.col("rule_type") == kind, entry))).alias(name)
+    one = rules.agg(of(KEYWORD_MAPPING, "_keywords"), of(SPECIAL_CHAR, "_digits"))
+    return messages.crossJoin(F.broadcast(one)).withColumn(to, T.normalize_by(F.col(text), F.col("_keywords"), F.col("_digits"))).drop("_keywords", "_digits")  # one row
 
 
 # ---- normalization rules (rule_type, ord, key, value)

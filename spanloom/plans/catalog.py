@@ -97,6 +97,17 @@ def normalize_messages(spark, sf_dir):
     return I.normalized(spark, sf_dir).select("seq", "sender_id", "normalized")
 
 
+@query("with {messages} select seq, normalized from n")
+def normalize_by_table(spark, sf_dir):
+    """As many rules as aren't unrolled any more: the same result by arrays."""
+    none = [("KEYWORD_MAPPING", f"~{i}~", "X") for i in range(rules.UNROLLED)]
+    return rules.normalized(I.messages(spark, sf_dir), _normalization(spark, none)).select("seq", "normalized")
+
+
+def _normalization(spark: SparkSession, before=()) -> DataFrame:
+    return spark.createDataFrame([(k, i, a, b) for i, (k, a, b) in enumerate((*before, *I.MAPPINGS))], schemas.NORMALIZATION_RULES)
+
+
 _FOREIGN = r"""g as (select doc_id, case when doc_id % 2 = 0 then text else regexp_replace(text, '[a-zA-Z]', '', 'g') end as text from documents where text is not null),
 f as (select *, length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) as foreign_units, length(regexp_replace(text, '\P{L}', '', 'g')) as letters from g)"""
 
@@ -115,7 +126,7 @@ def non_english_filter(spark, sf_dir):
 @query(f"with {_FOREIGN} select doc_id::varchar as msg_id, 'D' as sender_id, text as raw, null::varchar as template_id, 0.0::double as confidence from f where letters > 0 and foreign_units > 0.3 * letters")
 def non_english_skip_result(spark, sf_dir):
     m = _gate_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("msg_id"), F.lit("D").alias("sender_id"), "text")
-    _, skipped = pipeline.prepared(m)
+    _, skipped = pipeline.prepared(m, spark.createDataFrame([], schemas.NORMALIZATION_RULES))
     return skipped.select("msg_id", "sender_id", F.col("text").alias("raw"), F.lit(None).cast("string").alias("template_id"), F.lit(0.0).alias("confidence"))
 
 
@@ -168,11 +179,33 @@ def rules_delete(spark, sf_dir):
     return rules.delete_type(_rules(spark, sf_dir), schemas.KEYWORD_MAPPING)
 
 
-@query("with {messages} select sender_id, 5::bigint as n_rules, count(*) as n_msgs from m group by sender_id")
+@query("with {messages} select sender_id, case when region < 3 then 5 when region = 3 then 1 else 0 end::bigint as n_rules, count(*) as n_msgs from m group by sender_id, region")
 def entity_lookup(spark, sf_dir):
-    compiled = rules.compile_entities(spark, I.entities(spark, sf_dir))
-    rows = tables.entities_of(I.messages(spark, sf_dir), matching.small(compiled))
-    return rows.groupBy("sender_id").agg(F.max(F.size("entities")).cast("bigint").alias("n_rules"), F.count("*").alias("n_msgs"))
+    """Senders with all rules, with one, and with none."""
+    by = I.entities(spark, sf_dir).join(F.broadcast(I.senders(spark, sf_dir)), "sender_id").filter("region < 3 or region = 3 and ord = 0").drop("region")
+    rows = tables.entities_of(I.messages(spark, sf_dir), matching.small(rules.compile_entities(spark, by)))
+    return rows.groupBy("sender_id").agg(F.coalesce(F.max(F.size("entities")), F.lit(0)).cast("bigint").alias("n_rules"), F.count("*").alias("n_msgs"))
+
+
+@query("select 'S' || (user_id % 50)::varchar as sender_id, 2 * count(*) as n_rows, 2 * count(*) as n_ids from events group by 1")
+def kafka_ids(spark, sf_dir):
+    """Equal messages at equal offsets of two partitions have ids of their own."""
+    e = I.table(spark, sf_dir, "events")
+    value = F.to_json(F.struct(F.concat(F.lit("S"), (F.col("user_id") % 50).cast("string")).alias("senderId"), F.lit("SAME TEXT").alias("text")))
+    records = e.select(F.lit("inbound").alias("topic"), F.col("event_id").alias("offset"), value.alias("value"))
+    m = sources.of_kafka(records.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("partition")))
+    return m.groupBy("sender_id").agg(F.count("*").alias("n_rows"), F.countDistinct("msg_id").alias("n_ids"))
+
+
+@query("""select (2 * k + j)::bigint as seq, 'BANK-' || n_name as sender_id, case when n_regionkey < 4 then n_nationkey::varchar || '.25' end as amount
+  from (select *, row_number() over (order by n_nationkey) - 1 as k from nation) cross join (values (0), (1)) t(j)""")
+def batch_api(spark, sf_dir):
+    """A list of messages in its order, each one twice: two results for two equal messages. Nations are a fixed few."""
+    n = I.table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_name", "n_regionkey").collect()
+    text = lambda r: f"Rs. {r['n_nationkey']}.25 debited from A/C XX0001 on 01/02/2024 at SHOP Avl Bal INR 9.5" if r["n_regionkey"] < 4 else "nothing"
+    m = sources.batch(spark, [(f"BANK-{r['n_name']}", text(r)) for r in n for _ in (0, 1)])
+    found, missed, _ = pipeline.process(spark, m, _normalization(spark), I.entities(spark, sf_dir), I.bank_templates(spark, sf_dir))
+    return found.select("seq", "sender_id", F.col("entities")["amount"].alias("amount")).union(missed.select("seq", "sender_id", F.lit(None).cast("string"))).orderBy("seq")
 
 
 @query("select 'BANK-' || n_name as sender_id, sha256('BANK-' || n_name || '::INR {AMOUNT} DEBITED') as template_id from nation where n_regionkey = 1")
@@ -321,6 +354,39 @@ def boundary_fixpoint(spark, sf_dir):
     return _first_values(spark, sf_dir, "V", (("V", None, ("{W}", "AVL", 3)), ("W", None, ("{DATE}", "", 1)), I.RULES[2]))
 
 
+def _values(spark: SparkSession, sf_dir: str, name: str, only, tail: Column | None = None) -> DataFrame:
+    """(seq, all values of the name in each message's first candidate, as text@start), of messages with something added."""
+    n = I.normalized(spark, sf_dir)
+    n = n if tail is None else n.withColumn("v", F.regexp_extract("normalized", " AT (.*) AVL ", 1)).withColumn("normalized", F.concat("normalized", tail)).drop("v")
+    rows = pipeline.with_candidates(n.withColumnRenamed("text", "raw_text"), rules.compile_entities(spark, I.entities(spark, sf_dir, only)))
+    of = F.transform(F.filter(F.get("cands", F.lit(0))["values"], lambda v: v["name"] == name), lambda v: F.concat(v["value"], F.lit("@"), v["st"].cast("string")))
+    return rows.select("seq", F.coalesce(F.array_join(of, "|"), F.lit("")).alias("found"))
+
+
+@query("with {messages} select seq, amount || '@4' || case when amount = balance then '' else '|' || balance || '@' || (strpos(normalized, ' BAL INR ') + 8)::varchar end as found from v")
+def boundary_occurrences(spark, sf_dir):
+    """Each place of a literal anchor; a value whose text was there before counts once."""
+    return _values(spark, sf_dir, "V", (("V", None, ("INR", "", 1)),))
+
+
+@query("with {messages} select seq, merchant || '@' || (length(normalized) + length(' AGAIN AT '))::varchar as found from v")
+def boundary_specificity(spark, sf_dir):
+    """The longer anchors come first though they are listed last, so the value is kept at their place."""
+    return _values(spark, sf_dir, "V", (("V", None, (("AT", "", 1), ("AGAIN AT", "EOM", 3))),), F.concat(F.lit(" AGAIN AT "), "v"))
+
+
+@query("with {messages} select seq, merchant || '@' || (length(normalized) + length(' ACCOUNT '))::varchar as found from v")
+def boundary_retry(spark, sf_dir):
+    """The span from the first place of the anchor crosses a pattern's; the next place is taken."""
+    return _values(spark, sf_dir, "V", (I.RULES[2], ("V", None, ("ACCOUNT", "AT", 9))), F.concat(F.lit(" ACCOUNT "), "v", F.lit(" AT END")))
+
+
+@query("with {messages} select seq, '' as found from v")
+def boundary_no_retry(spark, sf_dir):
+    """Up to the end of the message there is no later place that could do."""
+    return _values(spark, sf_dir, "V", (I.RULES[2], ("V", None, ("ACCOUNT", "EOM", 9))), F.concat(F.lit(" ACCOUNT "), "v"))
+
+
 @query("with {messages}, " + _SPANS_SQL.replace("{p}", "[0-9]+") + " select seq, i, st, st < strpos(normalized, ' DEBITED') - 1 as taken, st >= 4 and st < 4 + length(amount) as inside from p join v using (seq)")
 def claimed_filter(spark, sf_dir):
     n = I.normalized(spark, sf_dir).withColumn("own", _spans("AMOUNT", I.AMOUNT)).select("seq", "own", F.posexplode(_spans("N", "[0-9]+")).alias("i", "s"))
@@ -387,8 +453,17 @@ def _apart(rows: pa.Array) -> pa.Array:
     return pa.array([["|".join(s.value for s in v) for v in engine.apart([engine.Span(**s) for s in r])] for r in rows.to_pylist()], pa.list_(pa.string()))
 
 
-@query()
+@query(f"""with recursive {_LINES}, b as (select msg_id, list(struct_pack(st := st, en := en, v := ord::varchar) order by st, ord, name, en) as s from l group by msg_id),
+r as (
+  select msg_id, '' as path, s from b
+  union all
+  select msg_id, path || branch, case branch when '0' then s[1:i - 1] || s[i + 1:] else s[1:i] || s[i + 2:] end
+  from (select *, list_position(list_transform(range(1, len(s)), lambda k: s[k].en > s[k + 1].st), true) as i from r) cross join (values ('0'), ('1')) t(branch) where i > 0
+)
+select msg_id, (row_number() over (partition by msg_id order by path) - 1)::int as ord, array_to_string(list_transform(s, lambda x: x.v), '|') as variant
+from r where not list_contains(list_transform(range(1, len(s)), lambda k: s[k].en > s[k + 1].st), true)""")
 def nonoverlap_variants(spark, sf_dir):
+    """Without the left, then without the right one of the first two that overlap, again and again."""
     rows = _span_arrays(spark, sf_dir).select("msg_id", F.posexplode(F.arrow_udf(_apart, "array<string>")("spans")).alias("ord", "variant"))
     return rows.select("msg_id", "ord", "variant")
 
@@ -489,8 +564,7 @@ def semantic_types(spark, sf_dir):
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hit path over all messages."""
-    normalization = spark.createDataFrame([(k, i, a, b) for i, (k, a, b) in enumerate(I.MAPPINGS)], schemas.NORMALIZATION_RULES)
-    return pipeline.process(spark, I.messages(spark, sf_dir), normalization, I.entities(spark, sf_dir), I.bank_templates(spark, sf_dir))[0]
+    return pipeline.process(spark, I.messages(spark, sf_dir), _normalization(spark), I.entities(spark, sf_dir), I.bank_templates(spark, sf_dir))[0]
 
 
 @query("with {messages} select seq, sender_id, text as raw, normalized, sha256(sender_id || '::INR {AMOUNT} DEBITED') as template_id, 'BANKING' as category, 'CARD' as subcategory, 'DEBIT' as intent, 0.9::double as confidence, 'TEMPLATE_HIT' as path from n")
@@ -598,7 +672,9 @@ _LOW = "confidence < 0.5"
 
 
 @query("""with {records}, c as (select count(*) as total, count(*) filter (where path = 'TEMPLATE_HIT') as hits, count(*) filter (where path = 'LLM') as llm_calls,
-  count(*) filter (where path = 'LLM' and confidence >= 0.5) as learned, count(*) filter (where path = 'LLM' and confidence < 0.5) as skipped_low_confidence, count(*) filter (where path is null) as failed from r),
+  count(*) filter (where path = 'LLM' and confidence >= 0.5) as learned, count(*) filter (where path = 'LLM' and confidence < 0.5) as skipped_low_confidence, count(*) filter (where path is null) as failed,
+  count(*) filter (where redundant) as redundant, sum(input_tokens)::bigint as input_tokens, sum(output_tokens)::bigint as output_tokens, sum(cached_tokens)::bigint as cached_tokens, sum(reasoning_tokens)::bigint as reasoning_tokens,
+  """ + ", ".join(f"count(*) filter (where path = 'LLM' and fail_reason = '{r}') as {r.lower()}" for r in schemas.REASONS) + """ from r),
 m as (select list_sort(list(match_ms)) as x from r where match_ms is not null), l as (select list_sort(list(llm_ms)) as x from r where llm_ms is not null)
 select c.*, replace(round((hits * 100.0 / total)::decimal(18,6), 1)::decimal(18,1)::varchar, ',', '') || '%' as hit_rate,
   len(m.x)::bigint as match_n, floor(list_sum(m.x)::double / len(m.x))::bigint as match_avg, m.x[floor(len(m.x) * 0.5)::int + 1] as match_p50, m.x[floor(len(m.x) * 0.95::double)::int + 1] as match_p95, m.x[floor(len(m.x) * 0.99::double)::int + 1] as match_p99,
@@ -649,8 +725,7 @@ def hit_rate_by_sender(spark, sf_dir):
 @query("with {messages} select seq, sender_id, region = 3 as missed from m")
 def hits_and_misses(spark, sf_dir):
     """Every message ends in one of the two outputs."""
-    normalization = spark.createDataFrame([(k, i, a, b) for i, (k, a, b) in enumerate(I.MAPPINGS)], schemas.NORMALIZATION_RULES)
     known = I.senders(spark, sf_dir).filter("region <> 3").select("sender_id")
     templates = I.bank_templates(spark, sf_dir).join(F.broadcast(known), "sender_id", "left_semi")  # nations
-    found, missed, _ = pipeline.process(spark, I.messages(spark, sf_dir), normalization, I.entities(spark, sf_dir), templates)
+    found, missed, _ = pipeline.process(spark, I.messages(spark, sf_dir), _normalization(spark), I.entities(spark, sf_dir), templates)
     return found.select("seq", "sender_id", F.lit(False).alias("missed")).union(missed.select("seq", "sender_id", F.lit(True).alias("missed")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom import schemas
@@ -61,9 +61,17 @@ def senders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entities(spark: SparkSession, sf_dir: str, rules=RULES) -> DataFrame:
     """Every sender with the given rules (schemas.SENDER_ENTITIES)."""
-    rows = [(i, name, schemas.REGEX if pattern else schemas.BOUNDARY_HINT, [(pattern, 0)] if pattern else [], [pair] if pair else []) for i, (name, pattern, pair) in enumerate(rules)]
-    kinds = f"ord int, name string, rule_type string, regex_variants array<{schemas.VARIANT}>, boundary_pairs array<{schemas.PAIR}>"
-    return senders(spark, sf_dir).select("sender_id").crossJoin(F.broadcast(spark.createDataFrame(rows, kinds)))  # nations by a constant list
+    own = F.array(*[rule(i, *r) for i, r in enumerate(rules)])
+    return senders(spark, sf_dir).select("sender_id", F.inline(own)).select("sender_id", "ord", "name", "rule_type", "regex_variants", "boundary_pairs")
+
+
+def rule(ord_: int, name: str, patterns: str | tuple[str, ...] | None, pairs=None) -> Column:
+    """A rule with its patterns (one or several) or its pairs (one or several), as a struct."""
+    patterns = (patterns,) if isinstance(patterns, str) else patterns or ()
+    pairs = (pairs,) if pairs and isinstance(pairs[0], str) else pairs or ()
+    variants = F.array(*[F.struct(F.lit(p).alias("regex"), F.lit(0).alias("grp")) for p in patterns]).cast(f"array<{schemas.VARIANT}>")
+    bounds = F.array(*[F.struct(F.lit(a).alias("start_after"), F.lit(b).alias("end_before"), F.lit(n).alias("max_tokens")) for a, b, n in pairs]).cast(f"array<{schemas.PAIR}>")
+    return F.struct(F.lit(ord_).alias("ord"), F.lit(name).alias("name"), F.lit(schemas.REGEX if patterns else schemas.BOUNDARY_HINT).alias("rule_type"), variants.alias("regex_variants"), bounds.alias("boundary_pairs"))
 
 
 def template(sender, canonical, category, static_hash, ordering, snapshots, active=True, subcategory="CARD", intent="DEBIT", confidence=0.9):
@@ -104,6 +112,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.cast("string").alias("msg_id"), i.alias("seq"), F.concat(F.lit("S"), (F.col("user_id") % 50).cast("string")).alias("sender_id"), F.lit("t").alias("template_id"), F.lit("c").alias("category"), F.lit("s").alias("subcategory"),
         ((i % 7) / 7.0).cast("double").alias("confidence"), path.alias("path"), reason.alias("fail_reason"), F.floor(F.col("value") * 3).cast("bigint").alias("total_ms"),
         F.when(path == schemas.LEARNED, F.floor(F.col("value") * 2)).cast("bigint").alias("llm_ms"), F.when(path == schemas.HIT, F.floor(F.col("value"))).cast("bigint").alias("match_ms"),
+        ((path == schemas.LEARNED) & (i % 3 == 0)).alias("redundant"), *[F.when(path == schemas.LEARNED, i % n).cast("bigint").alias(c) for c, n in zip(schemas.TOKENS, (1000, 100, 10, 7), strict=True)],
     )
 
 
@@ -111,6 +120,8 @@ RECORDS_SQL = """r as (
   select event_id::varchar as msg_id, event_id as seq, 'S' || (user_id % 50)::varchar as sender_id, (event_id % 7) / 7.0::double as confidence,
     case when event_id % 10 < 7 then 'TEMPLATE_HIT' when event_id % 10 < 9 then 'LLM' end as path,
     case when event_id % 10 in (7, 8) then ['NO_EXTRACTION_CANDIDATES', 'EXTRACTION_CANDIDATES_DISCARDED', 'NO_TEMPLATE_MATCH_BOTH_HASHES_MISSED', 'BOUNDARY_VALIDATION_FAILED'][event_id % 4 + 1] end as fail_reason,
+    event_id % 10 in (7, 8) and event_id % 3 = 0 as redundant, case when event_id % 10 in (7, 8) then event_id % 1000 end as input_tokens, case when event_id % 10 in (7, 8) then event_id % 100 end as output_tokens,
+    case when event_id % 10 in (7, 8) then event_id % 10 end as cached_tokens, case when event_id % 10 in (7, 8) then event_id % 7 end as reasoning_tokens,
     case when event_id % 10 in (7, 8) then floor(value * 2)::bigint end as llm_ms, case when event_id % 10 < 7 then floor(value)::bigint end as match_ms
   from events
 )"""

@@ -12,10 +12,10 @@ from spanloom.operators import matching, rules, spans
 from spanloom.schemas import HIT
 
 
-def prepared(messages: DataFrame, mappings: T.Mappings = ()) -> tuple[DataFrame, DataFrame]:
+def prepared(messages: DataFrame, normalization: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(messages with normalized, messages of the language gate). A null text is an invalid row and in neither."""
     gate = messages.filter("text is not null").withColumn("foreign", T.non_english(F.col("text")))
-    return gate.filter("not foreign").drop("foreign").withColumn("normalized", T.normalize(F.col("text"), mappings)), gate.filter("foreign").drop("foreign")
+    return rules.normalized(gate.filter("not foreign").drop("foreign"), normalization), gate.filter("foreign").drop("foreign")
 
 
 def with_candidates(messages: DataFrame, compiled: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def process(spark: SparkSession, messages: DataFrame, normalization: DataFrame,
     candidates of those with more than a row keeps (more);
     skipped: messages of the language gate, with nothing else filled in. keep: what to do with the matched messages, of which hits and misses are two
     views, such as persist() where both are wanted."""
-    ready, skipped = prepared(messages, rules.mappings_of(normalization))
+    ready, skipped = prepared(messages, normalization)
     cands = with_candidates(ready.withColumnRenamed("text", "raw_text"), rules.compile_entities(spark, entities))
     got = keep(matched(cands, templates))
     hits = got.filter("win is not null").select(

@@ -20,7 +20,18 @@ TEACHER = (
     f"entities array<{SNAPSHOT}>, ordering array<string>, input_tokens bigint, output_tokens bigint, cached_tokens bigint, reasoning_tokens bigint"
 )
 RESULTS = "msg_id string, sender_id string, raw string, normalized string, template_id string, category string, subcategory string, intent string, entities map<string,string>, confidence double, ts timestamp"
-RECORDS = "msg_id string, seq bigint, sender_id string, template_id string, category string, subcategory string, confidence double, path string, fail_reason string, total_ms bigint, llm_ms bigint, match_ms bigint"
+#: Results as a sink holds them: the values are a JSON text.
+STORED_RESULTS = "msg_id string, sender_id string, raw string, normalized string, template_id string, category string, subcategory string, intent string, entities string, confidence double, ts timestamp"
+TOKENS = ("input_tokens", "output_tokens", "cached_tokens", "reasoning_tokens")
+RECORDS = (
+    "msg_id string, seq bigint, sender_id string, template_id string, category string, subcategory string, confidence double, path string, fail_reason string, "
+    "total_ms bigint, llm_ms bigint, match_ms bigint, redundant boolean, input_tokens bigint, output_tokens bigint, cached_tokens bigint, reasoning_tokens bigint"
+)
+#: What a stream writes of each message.
+PROCESSED = (
+    "msg_id string, seq bigint, sender_id string, raw string, normalized string, template_id string, category string, subcategory string, intent string, confidence double, entities map<string,string>, "
+    "path string, fail_reason string, redundant boolean"
+)
 
 #: The reasons why a message goes to the teacher, in order; the two kinds of rules; the two paths.
 REASONS = (
