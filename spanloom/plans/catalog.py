@@ -16,6 +16,7 @@ from spanloom.plans import inputs as I
 from spanloom.plans import pipeline
 from spanloom.sources import messages as sources
 from spanloom.sources import tables
+from spanloom.streaming import stateful, stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -497,9 +498,10 @@ def _two(spark: SparkSession, sf_dir: str, start: str, end: str, category="BANKI
 ONLY_AMOUNT = I.RULES[:1]
 
 
-@query("with {messages} select seq, sha256(sender_id || '::INR {AMOUNT} DEBITED') as template_id, null::varchar as reason from m")
+@query("with {messages} select seq, case when region < 4 then sha256(sender_id || '::INR {AMOUNT} DEBITED') end as template_id, case when region = 4 then 'NO_TEMPLATE_MATCH_BOTH_HASHES_MISSED' end as reason from m")
 def match_static(spark, sf_dir):
-    return _matched(spark, sf_dir, I.bank_templates(spark, sf_dir)).select("seq", "template_id", "reason")
+    known = F.broadcast(I.senders(spark, sf_dir).filter("region < 4").select("sender_id"))
+    return _matched(spark, sf_dir, I.bank_templates(spark, sf_dir).join(known, "sender_id", "left_semi")).select("seq", "template_id", "reason")
 
 
 @query("""select event_id as seq, case when event_id % 3 = 0 then sha256('A::greeting') end as template_id,
@@ -520,9 +522,14 @@ def match_sequence(spark, sf_dir):
     return _matched(spark, sf_dir, _two(spark, sf_dir, "INR", "DEBITED"), ONLY_AMOUNT).select("seq", "template_id")
 
 
-@query("with {messages} select seq, null::varchar as template_id, 'BOUNDARY_VALIDATION_FAILED' as reason from m")
+@query("with {messages} select seq, case when region < 3 then sha256(sender_id || '::A') end as template_id, case when region >= 3 then 'BOUNDARY_VALIDATION_FAILED' end as reason from m")
 def match_validate(spark, sf_dir):
-    return _matched(spark, sf_dir, _two(spark, sf_dir, "CREDITED", "DEBITED"), ONLY_AMOUNT).select("seq", "template_id", "reason")
+    """The start anchor stands right before the value for some senders, an anchor is nowhere for others."""
+    s = I.senders(spark, sf_dir)
+    start, end = F.when(F.col("region") == 3, "CREDITED").otherwise("INR"), F.when(F.col("region") == 4, "NOWHERE").otherwise("DEBITED")
+    t = s.select("region", *I.template(F.col("sender_id"), "A", "BANKING", "none", ("AMOUNT",), (("AMOUNT", "amount", "REGEX", I.AMOUNT, 0, "", "", 0),)))
+    named = F.transform("snapshots", lambda x: x.withField("start_after", start).withField("end_before", end))
+    return _matched(spark, sf_dir, t.withColumn("snapshots", F.when(F.col("region") < 5, named)).drop("region"), ONLY_AMOUNT).select("seq", "template_id", "reason")
 
 
 @query("""with {messages} select seq, case when region < 2 then null else case when sha256(sender_id || '::A') < sha256(sender_id || '::B') then sha256(sender_id || '::A') else sha256(sender_id || '::B') end end as template_id,
@@ -555,6 +562,54 @@ def match_fallback(spark, sf_dir):
     return _matched(spark, sf_dir, t, ONLY_AMOUNT).select("seq", "template_id", v["value"].alias("value"), v["st"].alias("st"), v["en"].alias("en"))
 
 
+@query("""select event_id as seq, case when event_id % 5 = 4 then sha256('S4::greeting') end as template_id,
+  case event_id % 5 when 0 then 'EXTRACTION_CANDIDATES_DISCARDED' when 1 then 'NO_EXTRACTION_CANDIDATES' when 2 then 'LOW_CONFIDENCE_TEMPLATE_INACTIVE' when 3 then 'EXTRACTION_CANDIDATES_DISCARDED' end as reason from events""")
+def match_discarded(spark, sf_dir):
+    """No candidates: with rules (0), without (1), without and with an inactive template (2), with both (3), with rules and an active template (4)."""
+    e = I.table(spark, sf_dir, "events")
+    m = e.select(F.col("event_id").cast("string").alias("msg_id"), F.col("event_id").alias("seq"), F.concat(F.lit("S"), (F.col("event_id") % 5).cast("string")).alias("sender_id"), F.lit("Dear customer, welcome").alias("text"))
+    s = spark.range(5).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("sender_id"), "id")
+    own = s.filter("id in (0, 3, 4)").select("sender_id", F.inline(F.array(I.rule(0, *I.RULES[0]), I.rule(1, "V", None, ("ABSENT", "", 2)))))
+    templates = s.filter("id > 1").select(*I.template(F.col("sender_id"), "greeting", "INFO", T.sha256(F.lit("DEARCUSTOMER,WELCOME")), (), (), active=F.col("id") == 4))
+    found, missed, _ = pipeline.process(spark, m, _normalization(spark), own, templates)
+    return found.select("seq", "template_id", F.lit(None).cast("string").alias("reason")).union(missed.select("seq", F.lit(None).cast("string"), "reason"))
+
+
+@query("""with {messages} select seq, case when region = 4 then sha256(sender_id || '::M') end as template_id,
+  case region when 0 then 'BOUNDARY_VALIDATION_FAILED' when 1 then 'LOW_CONFIDENCE_TEMPLATE_INACTIVE' when 2 then 'AMBIGUOUS_TEMPLATE_CONFLICT' when 3 then 'BOUNDARY_VALIDATION_FAILED' end as reason from m""")
+def match_priority(spark, sf_dir):
+    """Two candidates of a message that fail for different reasons: the reason that says more is given, whichever comes first."""
+    s = I.senders(spark, sf_dir)
+    r = F.col("region")
+
+    def t(only, name, canonical, start, category="BANKING", active=True):
+        return s.filter(only).select(*I.template(F.col("sender_id"), canonical, category, "none", (name,), ((name, "x", "REGEX", None, 0, start, "DEBITED", 0),), active=active))
+
+    parts = [
+        t(r == 0, "AMOUNT", "A", "CREDITED"), t(r == 0, "MONEY", "M", "INR", active=False),
+        t(r == 1, "AMOUNT", "A", "INR", active=False),
+        t(r == 2, "AMOUNT", "A", "INR"), t(r == 2, "AMOUNT", "B", "INR", "ECOMMERCE"), t(r == 2, "MONEY", "M", "CREDITED"),
+        t(r == 3, "MONEY", "M", "CREDITED"),
+        t(r == 4, "AMOUNT", "A", "CREDITED"), t(r == 4, "MONEY", "M", "INR"),
+    ]
+    templates = parts[0]
+    for p in parts[1:]:
+        templates = templates.union(p)
+    return _matched(spark, sf_dir, templates, (I.RULES[0], ("MONEY", r"(?<=INR )[0-9]+(?:\.[0-9]{1,2})?(?= DEBITED)", None))).select("seq", "template_id", "reason")
+
+
+@query("with {messages} select seq, amount as early, balance as late, day as by_name from v")
+def semantic_collisions(spark, sf_dir):
+    """Four values of one name and two snapshots: the first takes the type that is free without an anchor, the last the one whose anchor came before; of those in
+    between, which find no free type, the later one stays under the name."""
+    s = I.senders(spark, sf_dir)
+    snaps = (("NUM", "late", "REGEX", None, 0, "BAL INR", "", 0), ("NUM", "early", "REGEX", None, 0, "", "", 0))
+    t = s.select(*I.template(F.col("sender_id"), "N", "BANKING", "none", ("NUM",) * 4, snaps))
+    m = _matched(spark, sf_dir, t, (("NUM", (I.AMOUNT, I.ACCOUNT, I.DATE, I.BALANCE), None),))
+    typed = m.select("seq", matching.typed_values(F.col("normalized"), F.col("won"), F.col("win.snapshots")).alias("e"))
+    return typed.select("seq", F.col("e")["early"].alias("early"), F.col("e")["late"].alias("late"), F.col("e")["NUM"].alias("by_name"))
+
+
 @query("with {messages} select seq, amount, account, day, balance, merchant from v")
 def semantic_types(spark, sf_dir):
     m = _matched(spark, sf_dir, I.bank_templates(spark, sf_dir))
@@ -581,12 +636,56 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("with {messages} select sender_id, merchant, count(*) as n_msgs, sum(amount::decimal(18,2))::double as sum_amount from v group by 1, 2")(flagship)
 
 
-@query("""with {messages} select seq, sender_id, text as raw, '{"account":"' || account || '","amount":"' || amount || '","balance":"' || balance || '","day":"' || day || '","merchant":"' || merchant || '"}' as entities, sha256(sender_id || '::INR {AMOUNT} DEBITED') as template_id from v""")
+def _store(spark: SparkSession) -> tables.Store:
+    return tables.Store(spark, tables.new_dir(spark, "store"))
+
+
+@query("""with {messages} select seq::varchar as msg_id, sender_id, text as raw, normalized, '{"account":"' || account || '","amount":"' || amount || '","balance":"' || balance || '","day":"' || day || '","merchant":"' || merchant || '"}' as entities,
+  sha256(sender_id || '::INR {AMOUNT} DEBITED') as template_id, 'BANKING' as category, case when region = 1 then '' else 'CARD' end as subcategory, 'DEBIT' as intent, 0.9::double as confidence from v""")
 def result_sink_roundtrip(spark, sf_dir):
-    """Results as the sink stores them, read back; keys in a fixed order."""
-    h = hits(spark, sf_dir)
-    ordered = h.withColumn("entities", F.map_from_entries(F.array_sort(F.map_entries("entities"))))
-    return tables.stored_result(ordered).select("seq", "sender_id", "raw", "entities", "template_id")
+    """Results written in two batches, one of them again, and read back: null texts are empty, the values are a JSON text."""
+    store = _store(spark)
+    no_sub = I.senders(spark, sf_dir).select("sender_id", (F.col("region") == 1).alias("none"))
+    h = hits(spark, sf_dir).join(F.broadcast(no_sub), "sender_id").withColumn("subcategory", F.when(~F.col("none"), F.col("subcategory")))  # nations
+    stored = tables.stored_result(h).persist()
+    odd = F.pmod(F.col("msg_id").cast("long"), F.lit(2)) == 1
+    store.append("results", stored.filter(odd), 0)
+    store.append("results", stored.filter(~odd), 1)
+    store.append("results", stored.filter(odd), 0)
+    stored.unpersist()
+    return store.read("results").drop("ts")
+
+
+@query("with {messages} select seq::varchar as msg_id, merchant, amount from v")
+def result_sink_values(spark, sf_dir):
+    """The stored JSON text read as a map again."""
+    store = _store(spark)
+    store.append("results", tables.stored_result(hits(spark, sf_dir)), 0)
+    return tables.read_results(store.read("results")).select("msg_id", F.col("entities")["merchant"].alias("merchant"), F.col("entities")["amount"].alias("amount"))
+
+
+@query("""select 'BANK-' || n_name as sender_id, sha256('BANK-' || n_name || '::INR {AMOUNT} DEBITED') as template_id, case when n_regionkey = 1 then 0.4 else 0.9 end::double as confidence,
+  n_regionkey <> 1 as active, 5 as n_snapshots, 'AMOUNT:ACCOUNT_NUMBER:DATE:MERCHANT:AVAILABLE_BALANCE' as ordering from nation""")
+def template_sink(spark, sf_dir):
+    """Templates stored, some of them stored again under their ids, read back: the last write of an id counts."""
+    store, t = _store(spark), I.bank_templates(spark, sf_dir)
+    store.write("templates", t)
+    known = F.broadcast(I.senders(spark, sf_dir).filter("region = 1").select("sender_id"))
+    new = t.join(known, "sender_id", "left_semi").withColumn("confidence", F.lit(0.4).cast("double")).withColumn("active", F.lit(False))
+    store.write("templates", rules.upsert_by(store.read("templates"), new, "template_id"))
+    return store.read("templates").select("sender_id", "template_id", "confidence", "active", F.size("snapshots").alias("n_snapshots"), F.array_join("ordering", ":").alias("ordering"))
+
+
+@query("""select 'BANK-' || n_name as sender_id, case when n_regionkey = 2 then 'ONLY' else 'AMOUNT,ACCOUNT_NUMBER,DATE,AVAILABLE_BALANCE,MERCHANT' end as names, case when n_regionkey = 2 then 'AT>EOM' else 'AT>AVL' end as pairs from nation""")
+def entity_sink(spark, sf_dir):
+    """Rules stored, the whole list of some senders replaced, read back in order."""
+    store = _store(spark)
+    store.write("sender_entities", I.entities(spark, sf_dir))
+    new = I.senders(spark, sf_dir).filter("region = 2").select("sender_id", F.inline(F.array(I.rule(0, "ONLY", None, ("AT", "EOM", 4)))))
+    store.write("sender_entities", rules.upsert_by(store.read("sender_entities"), new, "sender_id"))
+    by = store.read("sender_entities").groupBy("sender_id").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "boundary_pairs"))).alias("r"))
+    pairs = F.flatten(F.transform("r", lambda r: F.transform(r["boundary_pairs"], lambda p: F.concat(p["start_after"], F.lit(">"), p["end_before"]))))
+    return by.select("sender_id", F.array_join(F.transform("r", lambda r: r["name"]), ",").alias("names"), F.array_join(pairs, ",").alias("pairs"))
 
 
 # ---- learning
@@ -616,6 +715,13 @@ def learn_template(spark, sf_dir):
     return learning.templates_of(_teacher_rows(spark, sf_dir)).select("sender_id", "template_id", "static_hash", "seq_hash", "active")
 
 
+@query("with {messages}, " + _FIRST + " select sender_id, 'AMOUNT/AMOUNT/REGEX/[0-9.]+/0///3|PLACE/PLACE/REGEX/-/0/AT//3' as snapshots, 'AMOUNT' as ordering, 'BANKING' as category, 0.8::double as confidence from f")
+def learn_snapshots(spark, sf_dir):
+    """The learned template's frozen rules, field by field."""
+    one = lambda x: F.concat_ws("/", x["name"], x["semantic_type"], x["rule_type"], F.coalesce(x["regex"], F.lit("-")), x["grp"].cast("string"), x["start_after"], x["end_before"], x["max_tokens"].cast("string"))
+    return learning.templates_of(_teacher_rows(spark, sf_dir)).select("sender_id", F.array_join(F.transform("snapshots", one), "|").alias("snapshots"), F.array_join("ordering", ",").alias("ordering"), "category", "confidence")
+
+
 @query("with {messages}, " + _FIRST + " select sender_id, amount as value, 4 as st, (4 + length(amount))::int as en, amount as by_type from f")
 def learn_values(spark, sf_dir):
     r = _teacher_rows(spark, sf_dir)
@@ -630,14 +736,19 @@ def learn_redundant(spark, sf_dir):
     return learning.redundant(r, stored).select("sender_id", "redundant")
 
 
-@query("""select 'BANK-' || n_name as sender_id, ord, name, rule_type, n_variants, n_pairs from nation cross join (values
-  (0, 'AMOUNT', 'REGEX', 2, 1), (1, 'ACCOUNT_NUMBER', 'REGEX', 1, 0), (2, 'DATE', 'REGEX', 1, 0), (3, 'AVAILABLE_BALANCE', 'REGEX', 1, 0), (4, 'MERCHANT', 'BOUNDARY_HINT', 0, 2), (5, 'CARD', 'BOUNDARY_HINT', 0, 1)) t(ord, name, rule_type, n_variants, n_pairs)""")
+@query(f"""select 'BANK-' || n_name as sender_id, ord, name, rule_type, variants, pairs from nation cross join (values
+  (0, 'AMOUNT', 'REGEX', '{I.AMOUNT}/0|{I.AMOUNT}/1', '>>3'), (1, 'ACCOUNT_NUMBER', 'REGEX', '{I.ACCOUNT}/0', ''), (2, 'DATE', 'REGEX', '{I.DATE}/0', ''), (3, 'AVAILABLE_BALANCE', 'REGEX', '{I.BALANCE}/0', ''),
+  (4, 'MERCHANT', 'BOUNDARY_HINT', '', 'AT>AVL>3|AT>>2'), (5, 'CARD', 'BOUNDARY_HINT', '', 'XX>>1'), (6, 'BARE', 'REGEX', 'b+/2', '')) t(ord, name, rule_type, variants, pairs)""")
 def rule_merge(spark, sf_dir):
-    """A known pattern with another group, a known pair with another limit, a repeat inside the answer, a new name."""
-    rows = [(0, "AMOUNT", "BOUNDARY_HINT", I.AMOUNT, 1, "", "", 3), (1, "MERCHANT", "REGEX", None, 0, "AT", "AVL", 9), (2, "MERCHANT", "REGEX", None, 0, "AT", "", 2), (3, "MERCHANT", "REGEX", None, 0, "AT", "", 4), (4, "CARD", "BOUNDARY_HINT", "", 0, "XX", "", 1)]
-    new = I.senders(spark, sf_dir).select("sender_id").crossJoin(F.broadcast(spark.createDataFrame(rows, "lord int, name string, rule_type string, regex string, grp int, start_after string, end_before string, max_tokens int")))  # nations by a constant list
+    """A known pattern with another group, a known pair with another limit, a repeat inside the answer, new names with and without anchors: the merged rules, field by field."""
+    fields = ("lord", "name", "rule_type", "regex", "grp", "start_after", "end_before", "max_tokens")
+    rows = [(0, "AMOUNT", "BOUNDARY_HINT", I.AMOUNT, 1, "", "", 3), (1, "MERCHANT", "REGEX", None, 0, "AT", "AVL", 9), (2, "MERCHANT", "REGEX", None, 0, "AT", "", 2), (3, "MERCHANT", "REGEX", None, 0, "AT", "", 4), (4, "CARD", "BOUNDARY_HINT", "", 0, "XX", "", 1), (5, "BARE", "REGEX", "b+", 2, None, None, 3)]
+    answer = F.array(*[F.struct(*[F.lit(v).cast("string" if n in ("regex", "start_after", "end_before") else "int" if isinstance(v, int) else "string").alias(n) for n, v in zip(fields, r, strict=True)]) for r in rows])
+    new = I.senders(spark, sf_dir).select("sender_id", F.inline(answer))
     m = rules.merge_entities(I.entities(spark, sf_dir), new)
-    return m.select("sender_id", "ord", "name", "rule_type", F.size("regex_variants").alias("n_variants"), F.size("boundary_pairs").alias("n_pairs"))
+    variants = F.transform("regex_variants", lambda v: F.concat(v["regex"], F.lit("/"), v["grp"].cast("string")))
+    pairs = F.transform("boundary_pairs", lambda p: F.concat_ws(">", p["start_after"], p["end_before"], p["max_tokens"].cast("string")))
+    return m.select("sender_id", "ord", "name", "rule_type", F.array_join(variants, "|").alias("variants"), F.array_join(pairs, "|").alias("pairs"))
 
 
 def _teacher(text: str, entities: list[dict]) -> dict | None:
@@ -666,6 +777,89 @@ def learn_loop(spark, sf_dir):
     return got.filter("kind = 'message'").select("seq", "sender_id", "path", "fail_reason", F.col("entities")["amount"].alias("amount"))
 
 
+_SHAPES = """, o as (select *, seq % 3 = 0 as note from v), p as (
+  select *, row_number() over (partition by sender_id, note order by seq) = 1 as asked, row_number() over (partition by sender_id order by seq) = 1 as first, first_value(note) over (partition by sender_id order by seq) as note_first from o
+)"""
+
+
+def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of two shapes, a third of them notes."""
+    note = F.concat(F.lit("NOTE "), F.regexp_extract("normalized", " AT (.*) AVL ", 1))
+    return I.normalized(spark, sf_dir).select("msg_id", "seq", "sender_id", F.when(F.col("seq") % 3 == 0, note).otherwise(F.col("normalized")).alias("normalized"))
+
+
+def _teacher_of_two(text: str, entities: list[dict]) -> dict | None:
+    """Learns both shapes; its category says how many rules it was told of."""
+    if not text.startswith("NOTE "):
+        r = _teacher(text, entities)
+    else:
+        rule = {"name": "W", "semantic_type": "what", "rule_type": "BOUNDARY_HINT", "regex": None, "grp": 0, "start_after": "NOTE", "end_before": "EOM", "max_tokens": 0}
+        r = {"subcategory": "S", "intent": "I", "confidence": 0.9, "canonical": "NOTE {W}", "fields": {"W": text[5:]}, "entities": [rule], "ordering": ["W"]}
+    return r and r | {"category": f"R{len(entities)}"}
+
+
+@query("with {messages}" + _SHAPES + """ select seq, sender_id, case when asked then 'LLM' else 'TEMPLATE_HIT' end as path, case when first then 'NO_EXTRACTION_CANDIDATES' when asked then 'EXTRACTION_CANDIDATES_DISCARDED' end as fail_reason,
+  'R' || case when note = note_first then 0 when note_first then 1 else 3 end::varchar as category, case when note then merchant else amount end as value from p""")
+def learn_two_shapes(spark, sf_dir):
+    """Each sender's two shapes are learned when they first come; the second time the teacher is told of the rules that it taught the first time."""
+    none = lambda s: spark.createDataFrame([], s)
+    got = learning.learn(_shaped(spark, sf_dir), none(schemas.SENDER_ENTITIES), none(schemas.TEMPLATES), _teacher_of_two)
+    return got.filter("kind = 'message'").select("seq", "sender_id", "path", "fail_reason", "category", F.coalesce(F.col("entities")["what"], F.col("entities")["amount"]).alias("value"))
+
+
+@query("with {messages}" + _SHAPES + """ select seq, sender_id, case when note and asked then 'LLM' else 'TEMPLATE_HIT' end as path from p""")
+def learn_from_known(spark, sf_dir):
+    """With one shape's rules and templates stored, only the other one is asked about; what matches at once doesn't go through the loop."""
+    m = _shaped(spark, sf_dir).withColumnRenamed("normalized", "text")
+    e, t = I.entities(spark, sf_dir), I.bank_templates(spark, sf_dir)
+    found, missed, _ = pipeline.process(spark, m, spark.createDataFrame([], schemas.NORMALIZATION_RULES), e, t)
+    got = learning.learn(missed.select("msg_id", "seq", "sender_id", "normalized"), e, t, _teacher_of_two).filter("kind = 'message'")
+    return found.select("seq", "sender_id", "path").union(got.select("seq", "sender_id", "path"))
+
+
+# ---- streams and the table function
+
+@query("with {messages}, k as (select sender_id, count(*) as n from m group by sender_id) select sender_id, 'LLM' as path, 1::bigint as n from k union all select sender_id, 'TEMPLATE_HIT', n - 1 from k where n > 1")
+def stream_learns(spark, sf_dir):
+    """Messages as lines of files, taken by a stream with the hit path and the learning loop, until nothing is left; what it wrote, read back."""
+    root = tables.new_dir(spark, "stream")
+    m = I.messages(spark, sf_dir)
+    lines = m.select(F.to_json(F.struct(F.col("sender_id").alias("senderId"), F.col("text"))).alias("value"))
+    lines.write.text(f"{root}/in")
+    store = tables.Store(spark, f"{root}/store")
+    store.write("normalization_rules", _normalization(spark))
+    q = stream.run(spark, sources.json_files(spark, f"{root}/in"), store.root, _teacher, available_now=True)
+    q.awaitTermination()
+    return store.read("processed").groupBy("sender_id", "path").agg(F.count("*").alias("n"))
+
+
+@query("with {messages}, k as (select sender_id, count(*) as n from m group by sender_id) select sender_id, 'LLM' as path, 1::bigint as n from k union all select sender_id, 'TEMPLATE_HIT', n - 1 from k where n > 1")
+def stream_keeps_state(spark, sf_dir):
+    """The same by keyed state, without stored versions of the rules."""
+    root = tables.new_dir(spark, "state")
+    I.normalized(spark, sf_dir).select("msg_id", "seq", "sender_id", "normalized").write.parquet(f"{root}/in")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        m = spark.readStream.schema("msg_id string, seq bigint, sender_id string, normalized string").parquet(f"{root}/in")
+        out = stateful.learn_stream(m, _teacher).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+        out.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.parquet(f"{root}/out").groupBy("sender_id", "path").agg(F.count("*").alias("n"))
+
+
+@query("""with {messages} select seq, 0 as ord, 'AMOUNT' as name, amount as value, 4 as st from v
+union all select seq, 0, 'MERCHANT', merchant, (strpos(normalized, ' AT ') + 3)::int from v union all select seq, 1, 'AMOUNT', amount, 4 from v""")
+def extract_table_function(spark, sf_dir):
+    """SELECT from the table function, with a message and rules as JSON."""
+    spans.register_extract(spark)
+    own = F.to_json(F.array(I.rule(0, *I.RULES[0]), I.rule(1, *I.RULES[4])))
+    I.normalized(spark, sf_dir).select("seq", "normalized", own.alias("own")).createOrReplaceTempView("messages_with_rules")
+    return spark.sql("select seq, x.ord, x.name, x.value, x.st from messages_with_rules, lateral extract_spans(normalized, own) x")
+
+
 # ---- metrics
 
 _LOW = "confidence < 0.5"
