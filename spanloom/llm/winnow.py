@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ K, W = 14, 50
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_LOWEST = -(1 << 63)
 
 
 class Winnower:
@@ -78,43 +80,57 @@ def as_string(hashes: np.ndarray) -> str:
     return hashes.astype(">u4").tobytes().hex()
 
 
-def _bucket(x: Column, cuts: list[int]) -> Column:
+def _key(at: Column, th: Column) -> Column:
+    return F.struct(at.alias("at"), th.alias("th"))
+
+
+def _bucket(x: Column, cuts: list[tuple[int, int]]) -> Column:
     """How many of the sorted cuts are at most x: first among every m-th cut, then among the m behind it."""
     m = max(1, round(len(cuts) ** 0.5))
     if not cuts:
         return F.lit(0)
+    kind = "struct<at:bigint,th:bigint>"
+    pair = lambda c: F.struct(F.lit(c[0]).cast("long").alias("at"), F.lit(c[1]).cast("long").alias("th"))
     blocks = [cuts[i : i + m] for i in range(0, len(cuts), m)]
-    block = F.size(F.filter(F.lit([b[0] for b in blocks]).cast("array<long>"), lambda c: c <= x))
-    inside = F.element_at(F.lit(blocks).cast("array<array<long>>"), F.greatest(block, F.lit(1)))
+    block = F.size(F.filter(F.array(*[pair(b[0]) for b in blocks]).cast(f"array<{kind}>"), lambda c: c <= x))
+    inside = F.element_at(F.array(*[F.array(*map(pair, b)) for b in blocks]).cast(f"array<array<{kind}>>"), F.greatest(block, F.lit(1)))
     return F.when(block == 0, 0).otherwise((block - 1) * m + F.size(F.filter(inside, lambda c: c <= x)))
 
 
+def _cuts(values: list[int]) -> list[tuple[int, int]]:
+    """Cuts (id, hash of the text) from quantiles of ids. An id that several quantiles fall on has as many parts of all rows; it is cut by the hash."""
+    return sorted((int(v), _LOWEST + j * (1 << 64) // m) for v, m in Counter(values).items() for j in range(m))
+
+
 def with_previous(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(at, id, text, bucket, context), sorted within partitions so that each row follows the row of the next lower id.
+    """(at, th, id, text, bucket, context), sorted within partitions so that each row follows the row of the next lower id.
 
-    Ids are cut into ranges by approximate quantiles of the id column alone; the last row of each range is also sent to
-    the following range as context, that of the last range to the first. So each text is shuffled once and no task sees
-    more than its range. Ties are ordered by text; a null id counts as the lowest.
+    Ids are cut into ranges by approximate quantiles of the id column alone, and an id that fills several ranges (as nulls may) by a hash of the text;
+    the last row of each range is also sent to the following range as context, that of the last range to the first. So each text is shuffled once
+    and no task sees more than its range. Ties are ordered by that hash, then by text; a null id counts as the lowest.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    lowest = -(1 << 63)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("at", F.coalesce("id", F.lit(lowest)))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = base.withColumn("at", F.coalesce("id", F.lit(_LOWEST))).withColumn("th", F.xxhash64("text"))
     n = partitions(spark)
-    ids = base.select("at")
-    cuts = sorted({int(x) for x in ids.approxQuantile("at", [i / n for i in range(1, n)], 0.25 / n)}) if n > 1 else []
-    last = {r["b"]: r["m"] for r in ids.groupBy(_bucket(F.col("at"), cuts).alias("b")).agg(F.max("at").alias("m")).collect()}  # a row a range
+    cuts = _cuts(base.select("at").approxQuantile("at", [i / n for i in range(1, n)], 0.25 / n)) if n > 1 else []
+    bucket = _bucket(_key(F.col("at"), F.col("th")), cuts).cast("int")
+    # the texts are read for their hash only where an id is cut by it
+    least = F.col("th") if any(h != _LOWEST for _, h in cuts) else F.lit(_LOWEST)
+    ids = base.select("at", least.alias("th"))
+    last = {r["b"]: (r["m"]["at"], r["m"]["th"]) for r in ids.groupBy(bucket.alias("b")).agg(F.max(_key(F.col("at"), F.col("th"))).alias("m")).collect()}  # a row a range
     order = sorted(last)
     after = dict(zip(order, order[1:] + order[:1], strict=True))
     n_b = len(cuts) + 1
     to = F.lit([after.get(b, -1) for b in range(n_b)]).cast("array<int>")
-    top = F.lit([last.get(b, lowest) for b in range(n_b)]).cast("array<long>")
-    b = base.withColumn("bucket", _bucket(F.col("at"), cuts).cast("int"))
-    is_last = F.element_at(top, F.col("bucket") + 1) == F.col("at")
+    top = [F.element_at(F.lit([last.get(b, (_LOWEST, _LOWEST))[k] for b in range(n_b)]).cast("array<long>"), F.col("bucket") + 1) for k in (0, 1)]
+    b = base.withColumn("bucket", bucket)
+    is_last = (top[0] == F.col("at")) & (top[1] <= F.col("th"))
     own = F.struct(F.col("bucket"), F.lit(False).alias("context"))
     other = F.struct(F.element_at(to, F.col("bucket") + 1).alias("bucket"), F.lit(True).alias("context"))
-    rows = b.select("at", "id", "text", F.explode(F.when(is_last, F.array(own, other)).otherwise(F.array(own))).alias("p")).select("at", "id", "text", "p.*")
-    return rows.repartitionById(n_b, F.col("bucket")).sortWithinPartitions("bucket", F.desc("context"), "at", "text")
+    rows = b.select("at", "th", "id", "text", F.explode(F.when(is_last, F.array(own, other)).otherwise(F.array(own))).alias("p")).select("at", "th", "id", "text", "p.*")
+    return rows.repartitionById(n_b, F.col("bucket")).sortWithinPartitions("bucket", F.desc("context"), "at", "th", "text")
 
 
 def _rows(k: int, w: int):
@@ -147,7 +163,7 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id"
     after the last the first), and the likeness (Jaccard of the hashes) to both.
 
     A null text counts as empty; two empty fingerprints are alike by 1. Rows that repeat an id follow each other by
-    text; a single row is its own next. Other columns are not looked at. No rows give no rows.
+    a hash of the text, then by text; a single row is its own next. Other columns are not looked at. No rows give no rows.
     """
     return with_previous(docs, id_col, text_col).mapInArrow(_rows(k, w), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>")
 

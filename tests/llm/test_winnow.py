@@ -1,9 +1,11 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 
 from spanloom.llm import winnow as W
+from test_mixing import spark_hash
 
 
 def slow(text, k=W.K, w=W.W):
@@ -72,3 +74,20 @@ def test_edges(docs):
     rows = [(1, "aa"), (1, "bb"), (None, "cc"), (2, "dd")]
     got = {(g["doc_id"], g["fingerprint"]) for g in W.fingerprints(docs(rows)).collect()}
     assert len(got) == 4 and W.fingerprints(docs([])).count() == 0
+
+
+def test_an_id_with_most_rows(docs):
+    """Rows without an id and of one id, copies among them: many ranges, in the order of a hash of their texts."""
+    r = random.Random(4)
+    texts = ["".join(r.choices("abcdef gh", k=r.randint(0, 120))) for _ in range(260)]
+    rows = [(None if i < 150 else 7 if i < 220 else 1000 + i, t) for i, t in enumerate(texts)] + [(None, texts[0])] * 5 + [(7, texts[160])] * 3
+    d = docs(rows).repartition(3)
+    sizes = sorted(x["count"] for x in W.with_previous(d, "doc_id", "text").filter("not context").groupBy("bucket").count().collect())
+    assert len(sizes) >= 3 and sizes[-1] < 0.45 * len(rows)
+    order = sorted(rows, key=lambda x: (-(1 << 63) if x[0] is None else x[0], spark_hash(x[1]), x[1]))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + order[k - 1][1][:half]
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest()] += 1
+    assert Counter((g["doc_id"], g["n_chars"], g["edited_sha256"]) for g in W.fingerprints(d).collect()) == want
