@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom import schemas
@@ -71,6 +72,55 @@ def test_stream_learns_and_then_hits(spark, tmp_path):
     assert store.read("templates").count() == 1
 
 
+def test_equal_messages_are_two_and_a_replay_is_the_same(spark, tmp_path):
+    """Equal lines of a file, of two files, equal records of two partitions and equal entries of a list are messages of their own, with the same ids each time."""
+    src, text = tmp_path / "in", TEXT.replace("INR", "Rs.").format(7, 1)
+    src.mkdir()
+    for k in range(2):
+        (src / f"{k}.txt").write_text("\n".join([json.dumps({"senderId": "S", "text": text})] * 3))
+    ids = []
+    for run in range(2):
+        root = "file://" + str(tmp_path / f"store{run}")
+        store = Store(spark, root)
+        store.write("normalization_rules", spark.createDataFrame([("KEYWORD_MAPPING", 0, "Rs.", "INR")], schemas.NORMALIZATION_RULES))
+        stream.run(spark, messages.json_files(spark, str(src)), root, _teacher, available_now=True).awaitTermination(120)
+        done, results = store.read("processed").collect(), store.read("results").collect()
+        assert len(done) == len(results) == 6 and [r["path"] for r in done].count("LLM") == 1
+        assert all(r["raw"] == text and json.loads(r["entities"])["amount"] == "7" and r["ts"] is not None for r in results)
+        ids.append({r["msg_id"] for r in done})
+    assert ids[0] == ids[1] and len(ids[0]) == 6
+    records = spark.createDataFrame([("t", p, 5, json.dumps({"senderId": "S", "text": text})) for p in (0, 1, 1)], "topic string, partition int, offset bigint, value string")
+    got = [r["msg_id"] for r in messages.of_kafka(records).collect()]
+    assert len(set(got)) == 2 and sorted(got) == sorted(r["msg_id"] for r in messages.of_kafka(records).collect())
+    assert messages.batch(spark, [("S", text)] * 3).select("msg_id").distinct().count() == 3
+
+
+def test_store(spark, tmp_path):
+    store = Store(spark, "file://" + str(tmp_path))
+    assert store.read("templates").count() == 0 and store.read("results").count() == 0
+    row = lambda i: spark.createDataFrame([(i, "S", "r", "n", "t", "c", "s", "i", "{}", 0.5, None)], schemas.STORED_RESULTS)
+    for batch, i in ((0, "a"), (1, "b"), (0, "c")):
+        store.append("results", row(i), batch)
+    assert sorted(r["msg_id"] for r in store.read("results").collect()) == ["b", "c"]
+    for bad in (lambda: store.append("templates", store.read("templates"), 0), lambda: store.write("results", row("x"))):
+        with pytest.raises(ValueError, match="templates|results"):
+            bad()
+
+
+def test_many_normalization_rules(spark):
+    """Beyond what is unrolled, the same result; bad rules are refused either way."""
+    from spanloom.operators import rules
+
+    m = spark.createDataFrame([("Rs. 1/2/3 a.c \\E x",), ("",), (None,)], "text string")
+    few = [("KEYWORD_MAPPING", 0, "Rs.", "inr"), ("KEYWORD_MAPPING", 1, "INR", "money"), ("SPECIAL_CHAR", 0, "/", "-"), ("KEYWORD_MAPPING", 2, "\\E", None)]
+    many = few + [("SPECIAL_CHAR", 10 + i, f"~{i}\\E", "?") for i in range(rules.UNROLLED)]
+    got = [[r["normalized"] for r in rules.normalized(m, spark.createDataFrame(x, schemas.NORMALIZATION_RULES)).collect()] for x in (few, many)]
+    assert got[0] == got[1] == ["MONEY 1-2/3 A.C X", "", ""]
+    for bad in (("KEYWORD_MAPPING", 5, "", "x"), ("KEYWORD_MAPPING", 5, None, "x"), ("KEYWORD_MAPPING", 5, "é", "x")):
+        with pytest.raises(ValueError, match="key and ASCII"):
+            rules.normalized(m, spark.createDataFrame([*few, bad], schemas.NORMALIZATION_RULES))
+
+
 def test_json_ingest(spark):
     rows = ['{"senderId": "A", "text": "x", "k": 1}', '{"senderId": 7, "text": "y"}', '{"senderId": "", "text": "z"}', "nonsense", '{"senderId": "A"}']
     got = messages.from_json_lines(spark.createDataFrame([(r,) for r in rows], "value string")).collect()
