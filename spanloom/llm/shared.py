@@ -2,40 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources.tables import new_dir
+
 #: Whitespace of the word contract: space and \x09-\x0D.
 SPACE = "\\x20\\x09-\\x0D"
 
 
-def is_local(master: str) -> bool:
-    return master == "local" or master.startswith("local[")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all run on this machine, one of our own; on a
-    cluster that is an error, as others can't see this machine's folders."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not is_local(spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="spanloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/spanloom-{what}-{uuid.uuid4().hex}"
-
-
 def settle(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, and a lost executor loses no files."""
     spark, path = df.sparkSession, new_dir(df.sparkSession, what)

@@ -1,6 +1,7 @@
 import pytest
 
 from spanloom.llm import shared
+from spanloom.sources.tables import shared_dir
 
 
 class Session:
@@ -22,13 +23,13 @@ class Session:
 @pytest.mark.parametrize("master", ["local-cluster[3,2,1024]", "spark://host:7077", "yarn", "k8s://https://host"])
 def test_a_cluster_needs_a_shared_folder(master):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared.shared_dir(Session(master))
-    assert shared.shared_dir(Session(master, "hdfs://x/y/")) == "hdfs://x/y"
+        shared_dir(Session(master))
+    assert shared_dir(Session(master, "hdfs://x/y/")) == "hdfs://x/y"
 
 
 @pytest.mark.parametrize("master", ["local", "local[4]", "local[*]"])
 def test_one_machine_makes_its_own(master):
-    own = shared.shared_dir(Session(master))
+    own = shared_dir(Session(master))
     assert own.startswith("file:///")
 
 
