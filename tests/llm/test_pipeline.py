@@ -43,6 +43,32 @@ def test_stages(spark, docs):
     assert out["best_fit_packing"].count() == out["source_mixing"].count()
 
 
+def test_odd_rows_and_clashing_names(spark):
+    """Nulls in every column, blank and very long texts, repeated rows, one id with two texts, extra columns with names that stages use."""
+    r = random.Random(11)
+    words = ["".join(r.choices("abcdefghijkl", k=r.randint(2, 8))) for _ in range(2000)]
+    text = lambda n=60: "\n".join(" ".join(r.choices(words, k=r.randint(5, 20))) + "." for _ in range(max(1, n // 12)))
+    names = ("score", "posterior", "seen", "draw", "scored", "row_key", "row_id", "gone_lines", "seen_lines", "id", "th", "k", "key", "other", "times", "turn", "plan_key", "plan_id", "kept", "component_id", "n", "length", "salt", "rank")
+    keep = text()
+    rows = [(i, text(), "en", f"s{i % 3}", 1) for i in range(40)] + [(50, keep, None, None, None)] * 4
+    rows += [(None, text(), None, "s1", None), (None, None, None, None, None), (60, "", "en", "s1", 0), (61, " \n ", "en", "s1", 3), (62, text(), "en", "s2", 7), (62, text(), "en", "s2", 7), (63, text(60_000), "en", "s0", 9)]
+    d = spark.createDataFrame([(*x, *names) for x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        before, d = d, stage(spark, d, None).persist()
+        got = d.collect()
+        if name == "best_fit_packing":
+            break
+        assert d.columns == before.columns and all(tuple(x[n] for n in names) == names for x in got)
+        ids = [x["doc_id"] for x in got]
+        assert set(range(40)) <= set(ids) and {50, 62, 63} <= set(ids) and not {60, 61} & set(ids) and None in ids
+        assert all((x["text"] or "").strip() for x in got)
+        if name == "quality_classifier":
+            assert ids.count(50) == 4 and ids.count(62) == 2 and len([x for x in got if x["doc_id"] == 63][0]["text"]) > 100_000
+        if name == "source_mixing":
+            assert ids.count(50) >= 4 and len(got) >= 48
+    assert {x["doc_id"] for x in got} == set(ids) and all(x["length"] <= 4096 for x in got)
+
+
 def test_empty(spark, tmp_path, docs):
     docs([]).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
