@@ -7,28 +7,30 @@ KW = lambda *p: [("KEYWORD_MAPPING", a, b) for a, b in p]
 SP = lambda *p: [("SPECIAL_CHAR", a, b) for a, b in p]
 
 CASES = [
-    ("Your account has been debited", [], "YOUR ACCOUNT HAS BEEN DEBITED"),
-    ("Debited Rs. 500 from your account", KW(("Rs.", "INR"), ("RS.", "INR")), "DEBITED INR 500 FROM YOUR ACCOUNT"),
-    ("Debited Rupees 500 from A/C 1234", KW(("Rs.", "INR"), ("Rupees", "INR"), ("A/C", "ACCOUNT")), "DEBITED INR 500 FROM ACCOUNT 1234"),
-    ("Hello   World   Test", [], "HELLO WORLD TEST"),
-    ("Date: 01/02/2024", SP(("/", "-")), "DATE: 01-02-2024"),
-    ("Account A/C balance", SP(("/", "-")), "ACCOUNT A/C BALANCE"),
-    (None, [], ""),
-    ("", [], ""),
-    ("  Hello World  ", [], "HELLO WORLD"),
-    ("Amount  Rs.  500  paid", KW(("Rs.", "INR")), "AMOUNT INR 500 PAID"),
-    ("1/2/3", SP(("/", "-")), "1-2/3"),
-    ("1,234,567.00", SP((",", "")), "1234,567.00".replace("1234,567", "1234567")),
-    ("ABANKED", KW(("bank", "x")), "AXED"),
-    ("añob", [], "A OB"),
-    ("\x01a\t\nb\x02", [], "A B"),
+    ("upper case", "The ferry leaves soon", [], "THE FERRY LEAVES SOON"),
+    ("a word for another", "Fee of Kr. 20 at the pier", KW(("Kr.", "NOK"), ("KR.", "NOK")), "FEE OF NOK 20 AT THE PIER"),
+    ("several words, in order", "Fee of Kroner 20 for P/O 7", KW(("Kr.", "NOK"), ("Kroner", "Kr."), ("P/O", "ORDER")), "FEE OF KR. 20 FOR ORDER 7"),
+    ("an earlier word's result is replaced too", "Kr. 5", KW(("Kr.", "NOK"), ("NOK", "COIN")), "COIN 5"),
+    ("inside of words", "UNPIERED", KW(("pier", "x")), "UNXED"),
+    ("a mark between digits", "Due: 03/04/2031", SP(("/", "-")), "DUE: 03-04-2031"),
+    ("but not elsewhere", "P/O number", SP(("/", "-")), "P/O NUMBER"),
+    ("places don't overlap", "7/8/9", SP(("/", "-")), "7-8/9"),
+    ("a mark that goes", "9,876,543.21", SP((",", "")), "9876543.21"),
+    ("null", None, [], ""),
+    ("empty", "", [], ""),
+    ("blanks in rows and at the ends", "  The   long  pier ", [], "THE LONG PIER"),
+    ("blanks left by a word", "Fee  Kr.  20  due", KW(("Kr.", "NOK")), "FEE NOK 20 DUE"),
+    ("what isn't ASCII is one blank", "pi\u00e9\u00e9r", [], "PI R"),
+    ("control characters", "\x01a\t\nb\x02", [], "A B"),
 ]
 
 
-@pytest.mark.parametrize(("text", "rules", "expected"), CASES)
+@pytest.mark.parametrize(("text", "rules", "expected"), [c[1:] for c in CASES], ids=[c[0] for c in CASES])
 def test_normalize(spark, text, rules, expected):
-    df = spark.createDataFrame([(text,)], "t string").select(T.normalize(F.col("t"), rules).alias("x"))
-    assert df.first()["x"] == expected
+    pairs = lambda kind: F.array(*[F.struct(F.lit(a).alias("key"), F.lit(b).alias("value")) for k, a, b in rules if k == kind]).cast("array<struct<key:string,value:string>>")
+    df = spark.createDataFrame([(text,)], "t string")
+    got = df.select(T.normalize(F.col("t"), rules).alias("x"), T.normalize_by(F.col("t"), pairs("KEYWORD_MAPPING"), pairs("SPECIAL_CHAR")).alias("y")).first()
+    assert got["x"] == got["y"] == expected
 
 
 def slow_foreign(t: str) -> bool:
@@ -46,8 +48,8 @@ def test_language_gate(spark, text):
 def test_anchor_patterns(spark):
     from spanloom.operators import engine
 
-    texts = ["FROM AMAZON ON 01", "FOR RS29952", "AT, 1,2 , 3", "ONON ON", "XON", "A.B ON9", ""]
-    for token in ("on", "FOR RS", ",", "AT", "."):
+    texts = ["MELON SOLD ON 03", "FOR NO17", "AT, 1,2 , 3", "ONON ON", "XON", "A.B ON9", ""]
+    for token in ("on", "FOR NO", ",", "AT", "."):
         df = spark.createDataFrame([(t,) for t in texts], "t string")
         got = {r["t"]: (r["a"], r["b"]) for r in df.select("t", T.anchor_at(F.col("t"), token).alias("a"), T.anchor_at(F.col("t"), token, matching=True).alias("b")).collect()}
         assert got == {t: (engine.find_anchor(t, token, 0), engine.find_anchor(t, token, 0, matching=True)) for t in texts}
