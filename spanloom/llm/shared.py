@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,21 +14,43 @@ from spanloom.sources.tables import new_dir
 SPACE = "\\x20\\x09-\\x0D"
 
 
+#: Lists of the folders that settle() has made, one for each temporary() that is open.
+_OPEN: list[list[str]] = []
+
+
 def settle(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, and a lost executor loses no files."""
     spark, path = df.sparkSession, new_dir(df.sparkSession, what)
+    for made in _OPEN:
+        made.append(path)
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
     return out
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_settled(*tables: DataFrame) -> None:
     """Removes the files behind tables as settle() returned them, once no later plan reads them."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._settled)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._settled)
+
+
+@contextmanager
+def temporary(spark: SparkSession, kept: list[DataFrame]) -> Iterator[None]:
+    """Removes, at the end, what settle() has written inside, but for the tables that were put in kept: for callers that settle a result."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for folder in set(made) - {df._settled for df in kept}:
+            _delete(spark, folder)
 
 
 #: Keys that are broadcast at most: a few MB. More are joined by shuffle.
