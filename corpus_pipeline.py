@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import linededup, mixing, neardup, packing, quality
-from spanloom.llm.shared import settle, table
+from spanloom.llm.shared import settle, table, temporary
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,5 +47,8 @@ ORACLE_SQL = None  # SQL can't express the trained and iterative stages; the tes
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        kept: list[DataFrame] = []
+        with temporary(spark, kept):  # a stage's own tables go once its result is written
+            docs = settle(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
     return docs
