@@ -72,3 +72,17 @@ def test_odd_rows_and_clashing_names(spark):
 def test_empty(spark, tmp_path, docs):
     docs([]).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_run_leaves_only_its_stages(spark, tmp_path, docs):
+    """What stages write for themselves is removed; each stage's result stays."""
+    from pathlib import Path
+
+    from spanloom.sources.tables import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    docs(corpus()[:40]).write.parquet(f"{tmp_path}/documents.parquet")
+    before = set(folder.iterdir())
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 40
+    left = sorted(p.name.split("-")[1] for p in set(folder.iterdir()) - before)
+    assert left == sorted(name for name, _ in corpus_pipeline.STAGES)
