@@ -807,6 +807,15 @@ def learn_two_shapes(spark, sf_dir):
     return got.filter("kind = 'message'").select("seq", "sender_id", "path", "fail_reason", "category", F.coalesce(F.col("entities")["what"], F.col("entities")["amount"]).alias("value"))
 
 
+@query("with {messages}" + _SHAPES + """ select seq, sender_id, case when asked then 'LLM' else 'TEMPLATE_HIT' end as path, case when first then 'NO_EXTRACTION_CANDIDATES' when asked then 'EXTRACTION_CANDIDATES_DISCARDED' end as fail_reason,
+  'R' || case when note = note_first then 0 when note_first then 1 else 3 end::varchar as category, case when note then merchant else amount end as value from p""")
+def learn_rounds(spark, sf_dir):
+    """The same in rounds, in which a sender's messages are matched in the plan."""
+    none = lambda s: spark.createDataFrame([], s)
+    got, _, _ = pipeline.learn_in_rounds(spark, _shaped(spark, sf_dir), none(schemas.SENDER_ENTITIES), none(schemas.TEMPLATES), _teacher_of_two)
+    return got.select("seq", "sender_id", "path", "fail_reason", "category", F.coalesce(F.col("entities")["what"], F.col("entities")["amount"]).alias("value"))
+
+
 @query("with {messages}" + _SHAPES + """ select seq, sender_id, case when note and asked then 'LLM' else 'TEMPLATE_HIT' end as path from p""")
 def learn_from_known(spark, sf_dir):
     """With one shape's rules and templates stored, only the other one is asked about; what matches at once doesn't go through the loop."""

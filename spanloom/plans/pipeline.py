@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import matching, rules, spans
+from spanloom.operators import learning, matching, rules, spans
 from spanloom.schemas import HIT
+from spanloom.sources.tables import settled
 
 
 def prepared(messages: DataFrame, normalization: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,3 +48,42 @@ def process(spark: SparkSession, messages: DataFrame, normalization: DataFrame,
     )
     misses = got.filter("win is null").select("msg_id", "seq", "sender_id", "raw", "normalized", "reason", "more")
     return hits, misses, skipped.withColumnRenamed("text", "raw")
+
+
+#: Columns of a learning record (learning.LEARN_OUT without its kind and body).
+RECORD = ("msg_id", "seq", "sender_id", "normalized", "template_id", "category", "subcategory", "intent", "confidence", "entities", "path", "fail_reason", "redundant")
+
+
+def learn_in_rounds(spark: SparkSession, messages: DataFrame, entities: DataFrame, templates: DataFrame, teacher: learning.Teacher, rounds: int = 3, calls: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, entities, templates): what learning.learn() makes of messages (msg_id, seq, sender_id, normalized), with a large sender's messages spread.
+
+    Each round matches all open messages in the plan. A sender's messages before its first miss are hits for good, as nothing was taught in between; that miss
+    alone is asked about, and what comes behind it stays open for the next round, which knows what was taught. After so many rounds the rest goes through the
+    sequential loop. So a sender of few shapes takes few rounds, however many messages it has.
+    """
+    open_, records, place = messages.select("msg_id", "seq", "sender_id", "normalized"), [], F.struct("seq", "msg_id")
+
+    def taught(learned: DataFrame) -> tuple[DataFrame, DataFrame]:
+        records.append(learned.filter("kind = 'message'").select(*RECORD))
+        return settled(rules.upsert_by(entities, learning.new_rules(learned), "sender_id"), "rules"), settled(rules.upsert_by(templates, learning.new_templates(learned), "template_id"), "templates")
+
+    for _ in range(rounds):
+        rows = open_.withColumn("raw_text", F.lit(None).cast("string"))
+        got = settled(matched(with_candidates(rows, rules.compile_entities(spark, entities)), templates).select("msg_id", "seq", "sender_id", "normalized", "win", "won"), "round")
+        first = settled(got.filter("win is null").groupBy("sender_id").agg(F.min(place).alias("first")), "first-misses")
+        at = got.join(first, "sender_id", "left")
+        hits = at.filter(F.col("first").isNull() | (place < F.col("first")))
+        values = matching.typed_values(F.col("normalized"), F.col("won"), F.col("win.snapshots")).alias("entities")
+        records.append(hits.select("msg_id", "seq", "sender_id", "normalized", *[F.col(f"win.{k}").alias(k) for k in ("template_id", "category", "subcategory", "intent", "confidence")], values, F.lit(HIT).alias("path"), F.lit(None).cast("string").alias("fail_reason"), F.lit(False).alias("redundant")))
+        if first.isEmpty():
+            break
+        asked = at.filter(place == F.col("first")).select("msg_id", "seq", "sender_id", "normalized")
+        learned = settled(learning.learn(asked, entities, templates, teacher, calls), "learned")
+        open_ = at.filter(place > F.col("first")).select("msg_id", "seq", "sender_id", "normalized")
+        entities, templates = taught(learned)
+    else:
+        entities, templates = taught(settled(learning.learn(open_, entities, templates, teacher, calls), "learned"))
+    out = records[0]
+    for r in records[1:]:
+        out = out.unionByName(r)
+    return out, entities, templates

@@ -31,6 +31,13 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/spanloom-{what}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read again: its plan is cut, and a lost executor loses no files."""
+    path = new_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """A folder with the engine's tables. A table of rules or templates is written as a new version and then read from it; results and records are
     appended, each batch under its number, so that a replay replaces what it wrote. A version is complete once

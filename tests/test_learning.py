@@ -95,6 +95,28 @@ def test_equal_messages_are_two_and_a_replay_is_the_same(spark, tmp_path):
     assert messages.batch(spark, [("S", text)] * 3).select("msg_id").distinct().count() == 3
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 5])
+def test_rounds_are_the_loop(spark, rounds):
+    """Senders of many shapes, of none that can be learned, and of ties in seq: the records and tables of the sequential loop."""
+    import random
+
+    from spanloom.plans import pipeline
+    from spanloom.plans.catalog import _teacher_of_two
+
+    r = random.Random(rounds)
+    texts = [lambda i: TEXT.format(i + 1, i), lambda i: f"NOTE thing{i % 3}", lambda i: "NOTHING HERE"]
+    rows = [(f"m{s}{i}", i // 2, s, r.choice(texts[: 1 + "ABC".index(s)])(i)) for s in "ABC" for i in range(24)]
+    m = spark.createDataFrame(rows, "msg_id string, seq bigint, sender_id string, normalized string").repartition(3)
+    none = lambda x: spark.createDataFrame([], x)
+    want = learning.learn(m, none(schemas.SENDER_ENTITIES), none(schemas.TEMPLATES), _teacher_of_two)
+    got, entities, templates = pipeline.learn_in_rounds(spark, m, none(schemas.SENDER_ENTITIES), none(schemas.TEMPLATES), _teacher_of_two, rounds)
+    plain = lambda df: sorted(str(x.asDict(recursive=True)) for x in df.select(*pipeline.RECORD).collect())
+    assert plain(got) == plain(want.filter("kind = 'message'")) and got.count() == 72
+    assert sorted(x["template_id"] for x in templates.collect()) == sorted(x["template_id"] for x in learning.new_templates(want).collect())
+    own = lambda df: sorted((x["sender_id"], x["ord"], x["name"]) for x in df.collect())
+    assert own(entities) == own(learning.new_rules(want))
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, "file://" + str(tmp_path))
     assert store.read("templates").count() == 0 and store.read("results").count() == 0
