@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 from pyarrow import fs as pafs
@@ -22,6 +23,27 @@ def test_round_trip(docs):
     assert got[2][1:] == got[3][1:] and got[0][1:] == got[1][1:]
 
 
+def slow_feature(p):
+    """Sample by sample: bits of 8 x 8 block means above their mean, and shares of 16 ranges of values."""
+    rows = [p[i : i + 64] for i in range(0, len(p), 64)]
+    n, means = len(rows), []
+    for k in range(8):
+        block = rows[k * n // 8 : (k + 1) * n // 8] if n >= 8 else [rows[k * n // 8]]
+        means += [sum(sum(r[8 * c : 8 * c + 8]) for r in block) / (8 * len(block)) for c in range(8)]
+    middle = sum(means) / 64
+    bits = sum(1 << (63 - i) for i, m in enumerate(means) if m > middle)
+    return f"{bits:016x}-" + "".join(f"{sum(x >> 4 == v for x in p) * 255 // len(p):02x}" for v in range(16))
+
+
+def test_feature():
+    r = random.Random(1)
+    for n in (64, 128, 448, 512, 576, 6400, 64 * 77):
+        for pool in (b"abc", bytes(range(256))):
+            p = bytes(r.choices(pool, k=n))
+            assert media.feature(p) == slow_feature(p)
+    assert media.feature(bytes(64)) == slow_feature(bytes(64))
+
+
 def test_shards(spark, docs, tmp_path):
     """Copies share an object, shards are tar archives of a bounded size, metadata needs headers alone."""
     import io
