@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -21,7 +22,14 @@ def test_readers_agree(spark, monkeypatch):
 
 
 def test_large_text(spark):
-    """A text above the 20 million characters that a variant's texts may have."""
-    one = spark.range(1).select(F.lit(1).cast("bigint").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), F.lit("user").alias("role"), F.repeat(F.lit("ab<"), 7_000_000).alias("text"))
-    got = chat.digests(chat.format_records(chat.records_of(one))).first()
-    assert (got["n_turns"], got["loss_chars"], got["formatted_chars"]) == (1, 0, 28_000_000 + len("user" + chat.OPEN + chat.HEAD_END + chat.CLOSE))
+    """Turns of 25 million characters, above the 20 million that a variant's texts may have, and just below: digests as hashlib gives them."""
+    for n in (6_600_000, 8_400_000):
+        text = F.repeat(F.lit("ab<"), n)
+        rows = spark.range(2).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+        got = chat.digests(chat.format_records(chat.records_of(rows))).first()
+        said = hashlib.sha256()
+        for role in ("user", "assistant"):
+            said.update(f"{role}\n".encode() + b"ab<" * n + b"\n")
+        assert got["turns_sha256"] == said.hexdigest() and got["loss_sha256"] == hashlib.sha256(b"ab<" * n).hexdigest()
+        assert (got["n_turns"], got["loss_chars"]) == (2, 3 * n)
+        assert got["formatted_chars"] == 8 * n + len("userassistant") + 2 * len(chat.OPEN + chat.HEAD_END + chat.CLOSE)
