@@ -53,8 +53,8 @@ def temporary(spark: SparkSession, kept: list[DataFrame]) -> Iterator[None]:
             _delete(spark, folder)
 
 
-#: Keys that are broadcast at most: a few MB. More are joined by shuffle.
-BROADCAST_KEYS = 200_000
+#: Keys that are broadcast at most: under 10 MB. More are joined by shuffle.
+BROADCAST_KEYS = 100_000
 
 
 def semi(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
