@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,26 +84,45 @@ def _rules(text: str) -> tuple[list[dict], bool]:
     return rules, any(v["grp"] for e in rules for v in e["regex_variants"])
 
 
-_CANDIDATES = pa.list_(pa.struct([("ord", pa.int32()), ("values", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string()), ("st", pa.int32()), ("en", pa.int32())]))), ("names", pa.list_(pa.string()))]))
-
-
 #: Candidates of one message that are kept in its row. With more, the row says so, and learning.learn() tries them one by one.
 KEPT = 10_000
 
 
-def as_candidates(found: Iterable[list[engine.Span]]) -> list[dict]:
-    return [{"ord": i, "values": [s._asdict() for s in c], "names": [s.name for s in c]} for i, c in enumerate(found)]
-
-
-def _found(t: str | None, r: str | None, spans: list[dict] | None) -> Iterator[list[engine.Span]]:
+def candidates_array(found: Iterable[Iterable[list[engine.Span]]]) -> pa.Array:
+    """An array of candidates for each message, put together from flat columns: nested Python objects take longer to make than to find."""
+    flat: list[engine.Span] = []
+    ords, ends, upto = [], [0], [0]
+    for cands in found:
+        for i, c in enumerate(cands):
+            ords.append(i)
+            flat += c
+            ends.append(len(flat))
+        upto.append(len(ords))
+    name, value, st, en = ([s[k] for s in flat] for k in range(4))
+    names, at = pa.array(name, pa.string()), pa.array(ends, pa.int32())
+    values = pa.StructArray.from_arrays([names, pa.array(value, pa.string()), pa.array(st, pa.int32()), pa.array(en, pa.int32())], ["name", "value", "st", "en"])
+    rows = pa.StructArray.from_arrays([pa.array(ords, pa.int32()), pa.ListArray.from_arrays(at, values), pa.ListArray.from_arrays(at, names)], ["ord", "values", "names"])
+    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), rows)
+
+
+def spans_of_rows(column: pa.Array) -> list[list[engine.Span]]:
+    """The spans of each row of a list column."""
+    parts = column.flatten()
+    flat = list(map(engine.Span, *(parts.field(k).to_pylist() for k in range(4))))
+    n = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
+    ends = list(itertools.accumulate(n))
+    return [flat[e - k : e] for k, e in zip(n, ends, strict=True)]
+
+
+def _found(t: str | None, r: str | None, spans: list[engine.Span] | None) -> Iterator[list[engine.Span]]:
     if not t or not r:
         return iter(())
     parsed, own = _rules(r)
     by: dict[str, list[engine.Span]] | None = None
     if not own and spans is not None:
         by = {}
-        for s in spans or ():
-            by.setdefault(s["name"], []).append(engine.Span(s["name"], s["value"], s["st"], s["en"]))
+        for s in spans:
+            by.setdefault(s.name, []).append(s)
     return engine.extract(t, parsed, by, distinct=True)
 
 
@@ -118,10 +138,10 @@ def with_candidates(rows: DataFrame, text: str = "text", rules_json: str = "rule
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [_found(t, r, s) for t, r, s in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), b.column(k).to_pylist(), strict=True)]
-            cands = [as_candidates(itertools.islice(f, KEPT)) for f in found]
+            found = [_found(t, r, s) for t, r, s in zip(b.column(i).to_pylist(), b.column(j).to_pylist(), spans_of_rows(b.column(k)), strict=True)]
+            cands = candidates_array(itertools.islice(f, KEPT) for f in found)
             more = [next(f, None) is not None for f in found]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in at), pa.array(cands, _CANDIDATES), pa.array(more, pa.bool_())], names=[*(b.schema.names[x] for x in at), "cands", "more"])
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in at), cands, pa.array(more, pa.bool_())], names=[*(b.schema.names[x] for x in at), "cands", "more"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return rows.mapInArrow(run, f"{ddl}, cands array<{CANDIDATE}>, more boolean")
