@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_settled, fresh, semi, settle, text_batches
+from .shared import drop_settled, fresh, keep_words_of, semi, settle, text_batches
 
 _M = np.uint64
 _C1, _C2, _P = _M(0xBF58476D1CE4E5B9), _M(0x94D049BB133111EB), _M(0x9E3779B97F4A7C15)
@@ -102,6 +102,7 @@ def _sketches(k: int, bands: int, rows: int):
     band = mix(np.arange(1, bands + 1, dtype=_M) * _C2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_words_of("near duplicates")
         cache = _WordHashes()
         for b in batches:
             n, lo, hi, keys, bits = [], [], [], [], []
@@ -134,6 +135,7 @@ def _sketches(k: int, bands: int, rows: int):
 
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_words_of("near duplicates")
         cache, sets = _WordHashes(), {}
 
         def of(key: tuple[int, int], text: bytes) -> np.ndarray:
@@ -214,6 +216,7 @@ def _by_cell(names: list[str], close):
     """For batches sorted by cell (the first three columns): close(rows) for each cell of more than one row, as (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_words_of("near duplicates")
         at, held = None, []
 
         def batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle, text_batches
+from .shared import keep_words_of, settle, text_batches, words_of
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length and salt that one task ranks, on average, at most.
@@ -105,6 +105,7 @@ class WordIds:
 
 
 _WORDS: dict[str, WordIds] = {}
+words_of("packing", lambda: [w.known.clear() for w in _WORDS.values()])
 
 
 def word_ids(path: str) -> WordIds:
@@ -120,6 +121,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_words_of("packing")
         words, step = word_ids(path), 4 * capacity
         for b in batches:
             rows = []

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, settle, text_batches
+from .shared import fresh, keep_words_of, settle, text_batches, words_of
 
 
 BUCKETS = 1 << 16
@@ -67,6 +67,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+words_of("quality", _WORDS.clear)
 
 
 def look(text: bytes | None) -> tuple[np.ndarray, int, np.ndarray]:
@@ -171,6 +172,7 @@ _LOOKED = "struct<pattern:bigint,ids:binary,times:binary>"
 
 
 def _look(texts: pa.Array) -> pa.Array:
+    keep_words_of("quality")
     p, ids, times = [], [], []
     for t in texts.cast(pa.binary()).to_pylist():
         votes, _, words = look(t)

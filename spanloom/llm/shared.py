@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +53,21 @@ def temporary(spark: SparkSession, kept: list[DataFrame]) -> Iterator[None]:
             _delete(spark, folder)
 
 
+#: What empties each operator's words in this Python worker.
+_WORDS: dict[str, Callable[[], object]] = {}
+
+
+def words_of(operator: str, clear: Callable[[], object]) -> None:
+    _WORDS[operator] = clear
+
+
+def keep_words_of(operator: str) -> None:
+    """A worker is used for stage after stage. It keeps one operator's words at a time; called where a task begins."""
+    for name, clear in _WORDS.items():
+        if name != operator:
+            clear()
+
+
 #: Keys that are broadcast at most: under 10 MB. More are joined by shuffle.
 BROADCAST_KEYS = 100_000
 

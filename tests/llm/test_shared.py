@@ -41,3 +41,17 @@ def test_semi_is_the_same_either_way(spark, monkeypatch):
     plan = shared.semi(df, keys, "k")
     assert sorted(r["id"] for r in plan.collect()) == want == [i for i in range(1000) if i % 7 in (1, 4)]
     assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_worker_keeps_the_words_of_one_operator():
+    from spanloom.llm import packing, quality
+
+    quality.look(b"some words here")
+    words = packing.word_ids(packing.public_tokenizer())
+    words.ids(b"other words here")
+    assert quality._WORDS and words.known
+    shared.keep_words_of("quality")
+    assert quality._WORDS and not words.known
+    words.ids(b"other words here")
+    shared.keep_words_of("near duplicates")
+    assert not quality._WORDS and not words.known
