@@ -36,7 +36,7 @@ BANDS, ROWS, SKETCH = 32, 5, 5
 #: Sets below this size are confirmed without a look at the sketch.
 SMALL = 64
 #: Documents and shingles of a block whose texts are compared, and documents of one whose sketches are, about.
-BLOCK_DOCS, BLOCK_SHINGLES, BLOCK_SKETCHES = 256, 300_000, 2048
+BLOCK_DOCS, BLOCK_SHINGLES, BLOCK_SKETCHES = 256, 300_000, 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -274,8 +274,8 @@ def _near(percent: int, bins: int):
         ids, n, star = (np.array([r[x] for r in rows], np.int64) for x in (0, 1, 2))
         bits = np.array([r[3] for r in rows], np.int64).view(_M)
         near = np.empty((len(rows), len(rows)), bool)
-        for at in range(0, len(rows), 128):
-            part = slice(at, at + 128)
+        for at in range(0, len(rows), 64):
+            part = slice(at, at + 64)
             apart = np.bitwise_count(bits[part, None, :] ^ bits[None]).sum(axis=2, dtype=np.int16)
             low, high = np.minimum(n[part, None], n), np.maximum(n[part, None], n)
             near[part] = (100 * low >= percent * high) & ((low < SMALL) | (apart <= most)) & (star[part, None] != star)
