@@ -826,6 +826,56 @@ def learn_from_known(spark, sf_dir):
     return found.select("seq", "sender_id", "path").union(got.select("seq", "sender_id", "path"))
 
 
+def _asked(rows: pa.Array) -> pa.Array:
+    rule = {"name": "MERCHANT", "rule_type": "BOUNDARY_HINT", "regex_variants": [], "boundary_pairs": [{"start_after": "AT", "end_before": "AVL", "max_tokens": 3}]}
+    turns = [learning.request_for(t, [rule]) for t in rows.to_pylist()]
+    return pa.array([{"roles": ",".join(x["role"] for x in r), "message": r[-1]["content"]} for r in turns], pa.struct([("roles", pa.string()), ("message", pa.string())]))
+
+
+@query("""with {messages} select seq, 'system,user' as roles, '{"message": "' || normalized || '", "rules": [{"name": "MERCHANT", "type": "BOUNDARY_HINT", "regex": [], "anchors": [["AT", "AVL", 3]]}]}' as message from n""")
+def teacher_request(spark, sf_dir):
+    """What a teacher is sent: instructions, then the message with the sender's rules."""
+    asked = F.arrow_udf(_asked, "struct<roles:string,message:string>")("normalized")
+    return I.normalized(spark, sf_dir).select("seq", asked.alias("a")).select("seq", "a.roles", "a.message")
+
+
+def _busy(batches):
+    """For each row a teacher that is busy so many times: its answer, or the error, and the seconds that were waited."""
+    for b in batches:
+        out = []
+        for times in b["busy"]:
+            left, waits = [times], []
+
+            def teacher(text, entities, left=left):
+                if left[0]:
+                    left[0] -= 1
+                    raise learning.RateLimited
+                return {"text": text}
+
+            try:
+                said = learning.with_retry(teacher, waits.append)("asked", [])["text"]
+            except learning.RateLimited:
+                said = "given up"
+            out.append((said, sum(waits)))
+        yield b.assign(said=[x[0] for x in out], waited=[x[1] for x in out])[["n_nationkey", "said", "waited"]]
+
+
+@query("select n_nationkey, case when n_nationkey % 6 < 5 then 'asked' else 'given up' end as said, case when n_nationkey % 6 < 5 then (1 << (n_nationkey % 6)) - 1 else 15 end::bigint as waited from nation")
+def teacher_retry(spark, sf_dir):
+    """A teacher that is busy up to four times is asked again after 1, 2, 4 and 8 seconds (counted, not waited for here); beyond that it is given up."""
+    n = I.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), (F.col("n_nationkey") % 6).cast("int").alias("busy"))
+    return n.mapInPandas(_busy, "n_nationkey int, said string, waited bigint")
+
+
+@query("with {messages} select count(distinct sender_id) as senders, count(*) as n_msgs, true as within from m")
+def teacher_cap(spark, sf_dir):
+    """At most so many senders are asked about at a time: the loop has no more tasks."""
+    none = lambda s: spark.createDataFrame([], s)
+    n = I.normalized(spark, sf_dir).select("msg_id", "seq", "sender_id", "normalized")
+    got = learning.learn(n, none(schemas.SENDER_ENTITIES), none(schemas.TEMPLATES), _teacher, calls=3).filter("kind = 'message'")
+    return got.withColumn("task", F.spark_partition_id()).agg(F.countDistinct("sender_id").alias("senders"), F.count("*").alias("n_msgs"), (F.countDistinct("task") <= 3).alias("within"))
+
+
 # ---- streams and the table function
 
 @query("with {messages}, k as (select sender_id, count(*) as n from m group by sender_id) select sender_id, 'LLM' as path, 1::bigint as n from k union all select sender_id, 'TEMPLATE_HIT', n - 1 from k where n > 1")
