@@ -3,7 +3,10 @@ taught, without a claim, a lock or a published version. The other form (stream.p
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import json
+import sqlite3
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +18,28 @@ from spanloom.operators.learning import SenderState, Teacher
 OUT = "msg_id string, seq bigint, sender_id string, normalized string, template_id string, category string, confidence double, path string, fail_reason string, entities map<string,string>"
 
 
+#: Rows of a sender that are sorted in memory; a batch with more is sorted on the task's disk. Rows that are given out at a time.
+IN_MEMORY, ROWS_OUT = 20_000, 2_000
+
+
+def in_order(frames: Iterator[pd.DataFrame], most: int = IN_MEMORY) -> Iterator[tuple[str | None, int | None, str | None]]:
+    """(msg_id, seq, normalized) by seq and msg_id, nulls last. More rows than `most` go to a database in a temporary file that only this process sees and that goes
+    with it, so memory doesn't grow with a sender's messages."""
+    plain = lambda v: None if v is None or v != v else v
+    rows = ((plain(m), None if plain(s) is None else int(s), plain(n)) for f in frames for m, s, n in zip(f["msg_id"], f["seq"], f["normalized"], strict=True))
+    head = list(itertools.islice(rows, most + 1))
+    if len(head) <= most:
+        yield from sorted(head, key=lambda r: (r[1] is None, r[1] or 0, r[0] is None, r[0] or ""))
+        return
+    with contextlib.closing(sqlite3.connect("", isolation_level=None)) as db:
+        db.execute("pragma temp_store = file")
+        db.execute("create table rows (msg_id text, seq integer, normalized text)")
+        db.execute("begin")
+        db.executemany("insert into rows values (?, ?, ?)", itertools.chain(head, rows))
+        del head
+        yield from db.execute("select msg_id, seq, normalized from rows order by seq is null, seq, msg_id is null, msg_id")
+
+
 class Learner(StatefulProcessor):
     """A sender's messages, a batch at a time in the order of seq."""
 
@@ -28,12 +53,12 @@ class Learner(StatefulProcessor):
         held = self.kept.get() if self.kept.exists() else None
         body = json.loads(held[0]) if held else {"entities": [], "templates": []}
         state = SenderState(key[0], body["entities"], body["templates"])
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["seq", "msg_id"])
-        out = [{"msg_id": r.msg_id, "seq": r.seq, "sender_id": key[0], "normalized": r.normalized, **state.process(r.normalized, self.teacher)} for r in batch.itertuples(index=False)]
+        names = [f.split(" ")[0] for f in OUT.split(", ")]
+        done = ({"msg_id": m, "seq": q, "sender_id": key[0], "normalized": n, **state.process(n, self.teacher)} for m, q, n in in_order(rows))
+        while out := list(itertools.islice(done, ROWS_OUT)):
+            yield pd.DataFrame([{n: r.get(n) for n in names} for r in out], columns=names)
         if state.new_rules or state.new_templates:
             self.kept.update((json.dumps({"entities": state.entities, "templates": list(state.templates.values())}),))
-        names = [f.split(" ")[0] for f in OUT.split(", ")]
-        yield pd.DataFrame([{n: r.get(n) for n in names} for r in out], columns=names)
 
     def close(self) -> None:
         pass

@@ -177,3 +177,38 @@ def test_chat_teacher_reads_answers_as_the_plan_does(spark):
     assert json.loads(sent[0][1]["content"])["message"] == "X 1" and got["input_tokens"] == 5 and got["output_tokens"] == 0
     r = spark.createDataFrame([(answer,)], "c string").select(learning.parse_responses(F.col("c")).alias("r")).first()["r"].asDict(recursive=True)
     assert {k: r[k] for k in r} == {k: got[k] for k in r}
+
+
+def test_a_large_sender_of_a_stream_is_sorted_on_disk():
+    """More rows than are sorted in memory come in the same order, a frame at a time and not all at once."""
+    import pandas as pd
+
+    from spanloom.streaming import stateful
+
+    rows = [(f"m{i % 7}", (i * 37) % 101, f"T{i}") for i in range(500)] + [("x", None, "T"), (None, 3, "U")]
+    frames = lambda: (pd.DataFrame(rows[k : k + 50], columns=["msg_id", "seq", "normalized"]) for k in range(0, len(rows), 50))
+    order = lambda found: [r[:2] for r in found]
+    want = order(stateful.in_order(frames()))
+    assert order(stateful.in_order(frames(), 100)) == want and len(want) == 502 and want[-1] == ("x", None)
+    assert want[:-1] == sorted(want[:-1], key=lambda r: (r[1], r[0] is None, r[0] or ""))
+
+
+def test_a_large_sender_of_a_stream_is_given_out_in_parts():
+    import pandas as pd
+
+    from spanloom.streaming import stateful
+
+    class Kept:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, v):
+            self.held = v
+
+    learner = stateful.Learner(_teacher)
+    learner.kept = Kept()
+    frame = lambda k: pd.DataFrame([(f"{i:05}", i, TEXT.format(i + 1, i)) for i in range(k, k + 500)], columns=["msg_id", "seq", "normalized"])
+    got = list(learner.handleInputRows(("S",), (frame(k) for k in range(4500, -1, -500)), None))
+    assert max(map(len, got)) <= stateful.ROWS_OUT < sum(map(len, got)) == 5000
+    assert [p for f in got for p in f["path"]] == ["LLM"] + ["TEMPLATE_HIT"] * 4999 and learner.kept.exists()
