@@ -221,3 +221,37 @@ def test_typed_values():
     values = [Span("A", "1", 4, 5), Span("A", "2", 10, 11), Span("A", "3", 12, 13)]
     snaps = [snap("A", "TO", "") | {"semantic_type": "second"}, snap("A", "", "") | {"semantic_type": "first"}]
     assert engine.typed_values("PAY 1 TO: 2 3", values, snaps) == {"first": "1", "second": "2", "A": "3"}
+
+
+def test_one_pass_is_the_joins(spark, monkeypatch):
+    """Extraction and matching in one pass say the same as candidates matched by joins, for patterns and texts that Java has to search too; nothing is shuffled by message."""
+    from spanloom import schemas
+    from spanloom.operators import matching, rules
+    from spanloom.plans import pipeline
+
+    texts = ["PAY 12 TO BOB NOW", "PAY 12 TO BOB\rNOW", "PAY 7 TO ÄNN NOW", "PAY TO BOB NOW", "", "HELLO", "PAY 5 TO A B C D NOW"]
+    senders = {"a": "(?<=PAY )[0-9]+", "b": "(?<=PAY )[0-9&&[^5]]+", "c": "(?<=PAY )[0-9]+", "d": None}
+    m = spark.createDataFrame([(f"{s}{i}", i, s, t, t) for s in senders for i, t in enumerate(texts)], "msg_id string, seq bigint, sender_id string, raw_text string, normalized string")
+    e = spark.createDataFrame([(s, 0, "N", "REGEX", [(p, 0)], []) for s, p in senders.items() if p] + [(s, 1, "W", "BOUNDARY_HINT", [], [("TO", "NOW", 3)]) for s in senders if s != "d"], schemas.SENDER_ENTITIES)
+    snap = [("N", "n", "REGEX", None, 0, "PAY", "TO", 0), ("W", "w", "BOUNDARY_HINT", None, 0, "TO", "NOW", 3)]
+    seq, fixed = engine.sequence_hash(["N", "W"]), engine.static_hash("PAY TO NOW", ())
+    t = [("t1", "a", "C", "S", "I", 0.9, "x", snap, ["N", "W"], fixed, "none", True), ("t2", "b", "C", "S", "I", 0.9, "x", snap, ["N", "W"], "none", seq, True), ("t3", "b", "D", "S", "I", 0.9, "y", snap[:1], [], "none", seq, True), ("t4", "c", "C", "S", "I", 0.9, "x", None, [], "none", seq, True), ("t5", "c", "C", "S", "I", 0.2, "x", snap, [], engine.static_hash("HELLO", ()), "none", False), ("t6", "d", "C", "S", "I", 0.9, "x", None, [], engine.static_hash("HELLO", ()), "none", True)]
+    t = spark.createDataFrame(t, schemas.TEMPLATES)
+    c = rules.compile_entities(spark, e)
+    assert {r["sender_id"]: r["javas"] for r in c.collect()} == {"a": False, "b": True, "c": False}
+    plain = lambda df: sorted(str(r.asDict(recursive=True)) for r in df.select(*pipeline.MATCHED).collect())
+    want = plain(pipeline.matched(pipeline.with_candidates(m, c), t))
+    one = pipeline.decided(m, c, t)
+    assert plain(one) == want and len(want) == 28 and len({r["reason"] for r in one.collect()}) > 3
+    assert "hashpartitioning(msg_id" not in one._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(matching, "CARRIED", 300)  # some senders by joins, then all
+    assert plain(pipeline.decided(m, c, t)) == want
+    monkeypatch.setattr(matching, "CARRIED", 0)
+    assert plain(pipeline.decided(m, c, t)) == want
+
+
+def test_patterns_that_python_reads_as_java_does():
+    from spanloom.operators import rules
+
+    assert all(map(rules.alike, (r"(?<=^INR )[0-9]+(?:\.[0-9]{1,2})?", "[A-Z]+$", r"\d+(a|b)?", "(?!x)[^0-9 ]{2,}?", r"\bXX[0-9-]{4}")))
+    assert not any(map(rules.alike, (r"\p{L}+", "[a[bc]]", "[a-z&&[^b]]", "(?i)abc", r"\Aa", r"a\Z", "(a*)*b", "(a)\\1", "a++", "é", "[]a]", r"\Qa.b\E", "(?<=a|bc)d", "(?<n>a)")))
